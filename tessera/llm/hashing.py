@@ -16,6 +16,7 @@ import pyarrow as pa
 
 PIECE = 1 << 20
 SLICE = 4 << 20
+MOST_TEXTS = 1 << 15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _U = np.uint64
@@ -134,6 +135,15 @@ class Words:
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         return window_hashes(self._hashes[which], size, which)
 
+    def digests(self, which: int = 0) -> np.ndarray:
+        """A hash of the whole word sequence of each text."""
+        words = self._hashes[which]
+        up, down = _WORD[which].get(len(words) + 1)
+        sums = np.zeros(len(words) + 1, dtype=_U)
+        np.cumsum(words * up[: len(words)], out=sums[1:])
+        a, b = self.first[:-1], self.first[1:]
+        return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(_U))
+
     def valid(self, size: int) -> np.ndarray:
         """The first words of all windows of ``size`` words that lie in one text."""
         n = np.maximum(np.diff(self.first) - size + 1, 0)
@@ -162,21 +172,6 @@ def text_slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int,
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(at + MOST_TEXTS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield at, to, data, offsets[at : to + 1]
         at = to
-
-
-def spark_xxhash64(x: np.ndarray, seed: int = 42) -> np.ndarray:
-    """What ``F.xxhash64`` gives for non-null longs."""
-    p1, p2, p3, p4, p5 = (_U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    x = x.astype(np.int64).view(_U)
-    k = x * p2
-    k = ((k << _U(31)) | (k >> _U(33))) * p1
-    h = k ^ (_U(seed) + p5 + _U(8))
-    h = ((h << _U(27)) | (h >> _U(37))) * p1 + p4
-    h ^= h >> _U(33)
-    h *= p2
-    h ^= h >> _U(29)
-    h *= p3
-    return h ^ (h >> _U(32))

@@ -8,7 +8,7 @@ or the same id and an earlier start). Three passes over the texts:
    that its windows hit; what arrives is merged by cell range, streaming, and only the
    bit "hit at least twice" of each cell comes back. Cells never undercount, so a window
    that occurs twice always passes: the filter loses none.
-2. Windows whose cells are all set are grouped exactly by a 128-bit fingerprint of their
+2. Windows whose cells are all set are grouped exactly by a 96-bit fingerprint of their
    words. A task sends only its first occurrence of a fingerprint (its later ones go in
    any case), so a passage held by a third of all rows costs one row a task.
 3. The starts to cut meet their texts by document.
@@ -27,10 +27,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import Words, mix, spark_xxhash64, text_slices
+from .hashing import Words, mix, text_slices
 from .store import materialise
 
 WINDOW = 20
@@ -48,16 +49,28 @@ def _cells(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted offsets inside a chunk, as compressed differences."""
-    d = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
-    if len(d) and d.max() < 256:
-        return b"1" + zlib.compress(d.astype(np.uint8).tobytes(), 1)
-    return b"4" + zlib.compress(d.tobytes(), 1)
+    """Sorted offsets inside a chunk, as compressed gaps of one byte; a byte of 255 says "255 further, no cell here"."""
+    gap = np.diff(values.astype(np.int64), prepend=0)
+    skips = gap // 255
+    out = np.full(len(gap) + int(skips.sum()), 255, dtype=np.uint8)
+    out[np.cumsum(skips + 1) - 1] = gap % 255
+    return zlib.compress(out.tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    kind = {b"1": np.uint8, b"4": np.uint32}[blob[:1]]
-    return np.cumsum(np.frombuffer(zlib.decompress(blob[1:]), dtype=kind), dtype=np.int64)
+    gap = np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
+    return np.cumsum(gap, dtype=np.int64)[gap != 255]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The values byte by byte, all lowest bytes first: bytes that are the same in all values then cost nothing once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _values(blobs: list[bytes], kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel() for b in blobs]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
 def _sketch_task(window: int, width: int):
@@ -112,7 +125,7 @@ def _rows(kind, key, ids, starts, h1=None, h2=None):
     key, ids, starts = key[order], ids[order], starts[order].astype(np.int32)
     edges = np.flatnonzero(np.diff(key, prepend=-1))
     ends = np.append(edges[1:], len(key))
-    cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges, ends, strict=True)]
+    cut = lambda x: [_planes(x[a:b]) for a, b in zip(edges, ends, strict=True)]
     blank = [None] * len(edges)
     return pa.RecordBatch.from_pydict(
         {"kind": [kind] * len(edges), "key": key[edges].tolist(), "ids": cut(ids), "starts": cut(starts), "h1": blank if h1 is None else cut(h1[order]), "h2": blank if h2 is None else cut(h2[order])},
@@ -163,7 +176,7 @@ def _candidate_task(window: int, width: int, bits, buckets: int, parts: int):
                 if not len(at):
                     continue
                 doc = np.searchsorted(words.first, at, "right") - 1
-                held.append((h1, words.windows(window, 1)[at], own[a:b][doc], at - words.first[doc]))
+                held.append((h1, (words.windows(window, 1)[at] >> np.uint64(32)).astype(np.uint32), own[a:b][doc], at - words.first[doc]))
                 if sum(len(x[0]) for x in held) >= FLUSH // 2:
                     yield from flush()
         if held:
@@ -173,14 +186,14 @@ def _candidate_task(window: int, width: int, bits, buckets: int, parts: int):
 
 
 def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (spark_xxhash64(ids) % np.uint64(parts)).astype(np.int64)
+    return (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 def _exact_task(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
+        read = lambda name, kind: _values(table[name].to_pylist(), kind)
         ids, starts = read("ids", np.int64), read("starts", np.int32)
-        order, later, _ = _later(read("h1", np.uint64), read("h2", np.uint64), ids, starts)
+        order, later, _ = _later(read("h1", np.uint64), read("h2", np.uint32), ids, starts)
         go = order[later]
         if not len(go):
             return pa.Table.from_batches([], schema=_EXACT)
@@ -189,36 +202,58 @@ def _exact_task(parts: int):
     return run
 
 
+_PACKED = pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+
+
+def _pack_task(parts: int):
+    """Texts by part, compressed together: what the last shuffle moves."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            own = batch.column(1).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in text_slices(batch.column(0), 32 << 20):
+                key = _part(own[a:b], parts)
+                order = np.argsort(key, kind="stable")
+                edges = np.flatnonzero(np.diff(key[order], prepend=-1))
+                for x, y in zip(edges, np.append(edges[1:], len(key)), strict=True):
+                    of = order[x:y]
+                    texts = b"".join(bytes(data[offsets[t] : offsets[t + 1]]) for t in of)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(key[of[0]])]), pa.array([own[a:b][of].tobytes()]), pa.array([(offsets[of + 1] - offsets[of]).tobytes()]), pa.array([squeeze.compress(texts)])], schema=_PACKED)
+
+    return run
+
+
 def _cut_task(window: int):
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(marks["ids"].to_pylist()), dtype=np.int64)
-        starts = np.frombuffer(b"".join(marks["starts"].to_pylist()), dtype=np.int32)
+        ids, starts = _values(marks["ids"].to_pylist(), np.int64), _values(marks["starts"].to_pylist(), np.int32)
         order = np.argsort(ids, kind="stable")
         ids, starts = ids[order], starts[order]
-        own = docs["id"].combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False) if docs.num_rows else np.zeros(0, dtype=np.int64)
-        lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
-        n_words, n_removed, kept = [], [], []
-        for a, b, data, offsets in text_slices(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string())):
+        expand, done = zstandard.ZstdDecompressor(), []
+        for own, sizes, texts in zip(docs["ids"].to_pylist(), docs["sizes"].to_pylist(), docs["texts"].to_pylist(), strict=True):
+            own = np.frombuffer(own, dtype=np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, dtype=np.int64))])
+            data = np.frombuffer(expand.decompress(texts), dtype=np.uint8)
+            lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
             words = Words(data, offsets, ())
-            for t in range(a, b):
-                f, n = words.first[t - a], words.first[t - a + 1] - words.first[t - a]
-                parts = bytes(data[offsets[t - a] : offsets[t - a + 1]]).split()
-                gone = np.zeros(n, dtype=bool)
-                if hi[t] > lo[t]:
-                    s = starts[lo[t] : hi[t]]
-                    s = s[s + window <= n]
-                    depth = np.zeros(n + 1, dtype=np.int32)
-                    np.add.at(depth, s, 1)
-                    np.add.at(depth, s + window, -1)
-                    gone = np.cumsum(depth[:-1]) > 0
-                    first, last = words.start[f : f + n], words.stop[f : f + n]
-                    parts = [bytes(data[first[k] : last[k]]) for k in np.flatnonzero(~gone)]
-                n_words.append(n)
-                n_removed.append(int(gone.sum()))
-                kept.append(b" ".join(parts).decode())
-        return pa.table([docs["id"], n_words, n_removed, kept], schema=out)
+            n_words, n_removed, kept = np.diff(words.first), np.zeros(len(own), dtype=np.int64), []
+            for t, n in enumerate(n_words):
+                if hi[t] == lo[t]:
+                    kept.append(b" ".join(bytes(data[offsets[t] : offsets[t + 1]]).split()).decode())
+                    continue
+                s = starts[lo[t] : hi[t]]
+                s = s[s + window <= n]
+                depth = np.zeros(n + 1, dtype=np.int32)
+                np.add.at(depth, s, 1)
+                np.add.at(depth, s + window, -1)
+                gone = np.cumsum(depth[:-1]) > 0
+                n_removed[t] = gone.sum()
+                f = words.first[t]
+                kept.append(b" ".join(bytes(data[words.start[f + k] : words.stop[f + k]]) for k in np.flatnonzero(~gone)).decode())
+            done.append(pa.table([pa.array(own, mask=own == NULL_ID), n_words, n_removed, kept], schema=out))
+        return pa.concat_tables(done) if done else out.empty_table()
 
     return run
 
@@ -240,8 +275,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     found = materialise(spark, src.mapInArrow(_candidate_task(window, width, shared, buckets, parts), _EXACT_SQL), "candidates")
     exact = found.where("kind = 0").groupBy("key").applyInArrow(_exact_task(parts), _EXACT_SQL)
     marks = found.where("kind = 1").unionByName(exact).select("key", "ids", "starts")
-    keyed = src.withColumn("key", F.pmod(F.xxhash64(F.coalesce("id", F.lit(NULL_ID))), F.lit(parts)))
-    cut = keyed.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(_cut_task(window), "id long, n_words long, n_removed long, kept string")
+    packed = src.mapInArrow(_pack_task(parts), "key long, ids binary, sizes binary, texts binary")
+    cut = packed.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(_cut_task(window), "id long, n_words long, n_removed long, kept string")
     return cut.withColumnRenamed("id", id_col)
 
 
