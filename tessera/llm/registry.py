@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import neardup, substring
 
-_QUERIES = [substring.op2_substring_dedup]
+_QUERIES = [substring.op2_substring_dedup, neardup.op10_minhash_near_dedup]
 _ORACLES: dict[str, str] = {}
 
 
