@@ -37,7 +37,7 @@ from .store import materialise
 WINDOW = 20
 SKETCH_BYTES = 64 << 20
 CHUNK = 1 << 22
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 ROWS = 2
 NULL_ID = -(1 << 63)
 
@@ -78,17 +78,16 @@ def _sketch_task(window: int, width: int):
         held: list[np.ndarray] = []
 
         def flush():
-            cells = np.sort(np.concatenate(held))
+            cells = np.concatenate(held)
             held.clear()
-            first = np.ones(len(cells), dtype=bool)
-            first[1:] = cells[1:] != cells[:-1]
-            once = cells[first]
-            counts = np.diff(np.append(np.flatnonzero(first), len(cells)))
-            chunk, low = (once // np.uint64(CHUNK)).astype(np.int64), once % np.uint64(CHUNK)
-            edges = np.flatnonzero(np.diff(chunk, prepend=-1))
-            for a, b in zip(edges, np.append(edges[1:], len(chunk)), strict=True):
-                many = low[a:b][counts[a:b] > 1]
-                yield pa.RecordBatch.from_pydict({"chunk": [int(chunk[a])], "hit": [_pack(low[a:b])], "many": [_pack(many)]})
+            cells.sort()
+            edges = np.searchsorted(cells, np.arange(0, ROWS * width + CHUNK, CHUNK, dtype=np.uint64))
+            for chunk in np.flatnonzero(np.diff(edges)):
+                low = (cells[edges[chunk] : edges[chunk + 1]] - np.uint64(chunk * CHUNK)).astype(np.int32)
+                new = np.flatnonzero(np.diff(low, prepend=-1))
+                hit = low[new]
+                many = hit[np.diff(np.append(new, len(low))) > 1]
+                yield pa.RecordBatch.from_pydict({"chunk": [int(chunk)], "hit": [_pack(hit)], "many": [_pack(many)]})
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
@@ -177,7 +176,7 @@ def _candidate_task(window: int, width: int, bits, buckets: int, parts: int):
                     continue
                 doc = np.searchsorted(words.first, at, "right") - 1
                 held.append((h1, (words.windows(window, 1)[at] >> np.uint64(32)).astype(np.uint32), own[a:b][doc], at - words.first[doc]))
-                if sum(len(x[0]) for x in held) >= FLUSH // 2:
+                if sum(len(x[0]) for x in held) >= FLUSH // 4:
                     yield from flush()
         if held:
             yield from flush()
