@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import neardup, substring
+from . import ann, bpe, mixing, neardup, substring, topk
 
-_QUERIES = [substring.op2_substring_dedup, neardup.op10_minhash_near_dedup]
-_ORACLES: dict[str, str] = {}
+_QUERIES = [topk.op1_exact_top_k, substring.op2_substring_dedup, ann.op7_learned_partitions_ann, bpe.op8_byte_level_bpe, mixing.op9_entropy_mixing, neardup.op10_minhash_near_dedup]
+_ORACLES = {"op1_exact_top_k": topk.OP1_SQL}
 
 
 def queries() -> dict:
