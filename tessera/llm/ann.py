@@ -27,7 +27,7 @@ from .store import materialise
 from .vectors import best, bounded_sample, dealt, first_ids, matrix, valid_vectors
 
 SAMPLE, NEIGHBOURS = 8192, 10
-PARTS, PROBES = 32, 16
+PARTS, PROBES = 64, 48
 HIDDEN, EPOCHS, BATCH, RATE = 128, 30, 256, 2e-3
 SHARD, LOT = 16384, 1024
 
