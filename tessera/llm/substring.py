@@ -30,6 +30,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .hashing import Words, mix, text_slices
 from .store import materialise
@@ -201,7 +203,14 @@ def _exact_task(parts: int):
     return run
 
 
-_PACKED = pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+_PACKED = pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("more", pa.binary())])
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def _pack_task(parts: int):
@@ -211,6 +220,8 @@ def _pack_task(parts: int):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             own = batch.column(1).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            more = batch.num_columns > 2
+            carried = batch.select(list(range(2, batch.num_columns)))
             for a, b, data, offsets in text_slices(batch.column(0), 32 << 20):
                 key = _part(own[a:b], parts)
                 order = np.argsort(key, kind="stable")
@@ -218,20 +229,20 @@ def _pack_task(parts: int):
                 for x, y in zip(edges, np.append(edges[1:], len(key)), strict=True):
                     of = order[x:y]
                     texts = b"".join(bytes(data[offsets[t] : offsets[t + 1]]) for t in of)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(key[of[0]])]), pa.array([own[a:b][of].tobytes()]), pa.array([(offsets[of + 1] - offsets[of]).tobytes()]), pa.array([squeeze.compress(texts)])], schema=_PACKED)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(key[of[0]])]), pa.array([own[a:b][of].tobytes()]), pa.array([(offsets[of + 1] - offsets[of]).tobytes()]), pa.array([squeeze.compress(texts)]), pa.array([_ipc(carried.take(pa.array(of + a))) if more else None], pa.binary())], schema=_PACKED)
 
     return run
 
 
-def _cut_task(window: int):
-    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+def _cut_task(window: int, carry: pa.Schema, untouched: bool):
+    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), *carry])
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         ids, starts = _values(marks["ids"].to_pylist(), np.int64), _values(marks["starts"].to_pylist(), np.int32)
         order = np.argsort(ids, kind="stable")
         ids, starts = ids[order], starts[order]
         expand, done = zstandard.ZstdDecompressor(), []
-        for own, sizes, texts in zip(docs["ids"].to_pylist(), docs["sizes"].to_pylist(), docs["texts"].to_pylist(), strict=True):
+        for own, sizes, texts, more in zip(docs["ids"].to_pylist(), docs["sizes"].to_pylist(), docs["texts"].to_pylist(), docs["more"].to_pylist(), strict=True):
             own = np.frombuffer(own, dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, dtype=np.int64))])
             data = np.frombuffer(expand.decompress(texts), dtype=np.uint8)
@@ -240,7 +251,8 @@ def _cut_task(window: int):
             n_words, n_removed, kept = np.diff(words.first), np.zeros(len(own), dtype=np.int64), []
             for t, n in enumerate(n_words):
                 if hi[t] == lo[t]:
-                    kept.append(b" ".join(bytes(data[offsets[t] : offsets[t + 1]]).split()).decode())
+                    whole = bytes(data[offsets[t] : offsets[t + 1]])
+                    kept.append((whole if untouched else b" ".join(whole.split())).decode())
                     continue
                 s = starts[lo[t] : hi[t]]
                 s = s[s + window <= n]
@@ -251,14 +263,18 @@ def _cut_task(window: int):
                 n_removed[t] = gone.sum()
                 f = words.first[t]
                 kept.append(b" ".join(bytes(data[words.start[f + k] : words.stop[f + k]]) for k in np.flatnonzero(~gone)).decode())
-            done.append(pa.table([pa.array(own, mask=own == NULL_ID), n_words, n_removed, kept], schema=out))
+            rest = pa.ipc.open_stream(more).read_all().columns if more else []
+            done.append(pa.table([pa.array(own, mask=own == NULL_ID), n_words, n_removed, kept, *rest], schema=out))
         return pa.concat_tables(done) if done else out.empty_table()
 
     return run
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, sketch_bytes: int = SKETCH_BYTES) -> DataFrame:
-    """``id_col``, ``n_words``, ``n_removed`` and ``kept`` (kept words joined by one space), one row for each row of ``docs``."""
+def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, sketch_bytes: int = SKETCH_BYTES, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+    """``id_col``, ``n_words``, ``n_removed`` and ``kept`` (kept words joined by one space), one row for each row of ``docs``.
+
+    ``carry`` names columns to carry along, as ``carry_<name>``. ``untouched``: a text that loses nothing keeps its own white space.
+    """
     src = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
     size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     windows = size // 6 + 1
@@ -274,11 +290,22 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     found = materialise(spark, src.mapInArrow(_candidate_task(window, width, shared, buckets, parts), _EXACT_SQL), "candidates")
     exact = found.where("kind = 0").groupBy("key").applyInArrow(_exact_task(parts), _EXACT_SQL)
     marks = found.where("kind = 1").unionByName(exact).select("key", "ids", "starts")
-    packed = src.mapInArrow(_pack_task(parts), "key long, ids binary, sizes binary, texts binary")
-    cut = packed.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(_cut_task(window), "id long, n_words long, n_removed long, kept string")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    packed = rows.mapInArrow(_pack_task(parts), "key long, ids binary, sizes binary, texts binary, more binary")
+    fields = rows.schema.fields[2:]
+    out = StructType([*StructType.fromDDL("id long, n_words long, n_removed long, kept string").fields, *fields])
+    cut = packed.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(_cut_task(window, to_arrow_schema(StructType(fields)), untouched), out)
     return cut.withColumnRenamed("id", id_col)
 
 
+def cut_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The columns of ``docs`` with what is left of each text (and its length in ``chars_col``, if that is there), and ``n_removed`` and ``n_words_left``."""
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col, chars_col))
+    cut = cut_repeats(spark, docs, id_col, text_col, carry=rest, untouched=True, **options)
+    made = {id_col: F.col(id_col), text_col: F.col("kept"), chars_col: F.length("kept").cast("long")}
+    return cut.select(*((made[c] if c in made else F.col(f"carry_{c}")).alias(c) for c in docs.columns), "n_removed", (F.col("n_words") - F.col("n_removed")).alias("n_words_left"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of what is kept of each document."""
     cut = cut_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
