@@ -11,10 +11,13 @@ classes are the connected components.
    by improved consistent weighted sampling: two texts agree in a sample with the
    probability of their similarity. At 0.8 twelve bands of four miss 1 pair in 550.
 2. Texts with the same word sequence are one node (a 64-bit hash of all words).
-3. In each bucket all members are compared with one leader: n - 1 pairs, not n squared.
-   Buckets that this leaves in several components are settled exactly if they have up to
-   ``SMALL`` members (all pairs across components); larger ones are split by a further
-   band and treated alike, until none is left. Nothing is capped or dropped.
+3. In each bucket all members are compared with one leader: n - 1 pairs, not n squared. Where
+   that leaves several components, those apart are compared with a second member of the
+   leader's component, and then with those members that the triangle inequality leaves
+   possible (1 - similarity is a metric, and distances from the leader are known). Then the
+   leader's component is peeled off and the rest treated alike: up to ``SMALL`` members by
+   all pairs across components, more by a leader of their own, and after ``PEELS`` rounds
+   split by a further band. Nothing is capped or dropped.
 4. Verification brings shingle weights together by leader, in salted groups.
 
 Defined cases: texts without words (null, empty, blank) are singletons; the class id is
@@ -39,7 +42,7 @@ from .store import materialise
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 WIDTH, DEPTH, CHUNK = 1 << 21, 2, 1 << 18
-SMALL = 16
+SMALL, PEELS = 16, 4
 GROUP = 256
 NULL_ID = -(1 << 63)
 _U = np.uint64
@@ -161,7 +164,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     s = samples.astype(_U).reshape(BANDS, ROWS, -1)
     key = np.arange(1, BANDS + 1, dtype=_U)[:, None] * _U(0x9E3779B97F4A7C15)
     for r in range(ROWS):
-        key = mix(key ^ (s[:, r] + _U(r + 1) * _U(0xC2B2AE3D27D4EB4F)))
+        key = mix(key ^ (s[:, r] + _U((r + 1) * 0xC2B2AE3D27D4EB4F & ((1 << 64) - 1))))
     return key.view(np.int64).T
 
 
@@ -210,29 +213,90 @@ def weighted_jaccard(h1, w1, h2, w2) -> float:
     return both / (float(w1.sum(dtype=np.float64)) + float(w2.sum(dtype=np.float64)) - both)
 
 
-def _verify_task(threshold: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        read = lambda r: (np.frombuffer(r.h, dtype=_U), np.frombuffer(r.w, dtype=np.float32))
-        out = []
-        if len(left):
-            lead = next(left.itertuples(index=False))
-            a = read(lead)
-            for r in right.itertuples(index=False):
-                if weighted_jaccard(*a, *read(r)) >= threshold - 1e-9:
-                    out.append((lead.u, r.v))
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
-
-    return run
+def _verify_task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    read = lambda r: (np.frombuffer(r.h, dtype=_U), np.frombuffer(r.w, dtype=np.float32))
+    out = []
+    if len(left):
+        lead = next(left.itertuples(index=False))
+        a = read(lead)
+        out = [(lead.u, r.v, weighted_jaccard(*a, *read(r))) for r in right.itertuples(index=False)]
+    return pd.DataFrame(out, columns=["u", "v", "sim"]).astype({"u": "int64", "v": "int64", "sim": "float64"})
 
 
-def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``edges`` (u, v) whose texts are similar enough. A node u with many edges is dealt to groups of about GROUP."""
+def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, sim) for all ``edges`` (u, v). A node u with many edges is dealt to groups of about GROUP."""
     load = edges.groupBy("u").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     dealt = edges.join(load, "u").select("u", "v", F.pmod(F.xxhash64("v"), "groups").alias("salt"))
     fresh = lambda name: sets.select(F.col("node").alias(name), F.col("h").alias("h"), F.col("w").alias("w"))
     leads = load.select(F.col("u").alias("u"), "groups").join(fresh("u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), "h", "w")
     members = dealt.join(fresh("v"), "v").select(F.col("u").alias("u"), F.col("salt").cast("long").alias("salt"), "v", "h", "w")
-    return leads.groupBy("u", "salt").cogroup(members.groupBy("u", "salt")).applyInPandas(_verify_task(threshold), "u long, v long")
+    return leads.groupBy("u", "salt").cogroup(members.groupBy("u", "salt")).applyInPandas(_verify_task, "u long, v long, sim double")
+
+
+def _links(tried: DataFrame, threshold: float) -> DataFrame:
+    return tried.where(F.col("sim") >= threshold - 1e-9).select("u", "v")
+
+
+def _pairs(left: str, right: str) -> list:
+    return [F.least(left, right).alias("u"), F.greatest(left, right).alias("v")]
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """The rows of keys with more than one node, with their number and the least node."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+    return rows.join(counts, "key")
+
+
+def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All comparisons (u < v, sim) that the buckets ``rows`` (key, used, node, n, lead) call for."""
+    tried = None
+
+    def compare(edges: DataFrame) -> None:
+        nonlocal tried
+        edges = edges.distinct()
+        edges = edges.join(tried.select("u", "v"), ["u", "v"], "left_anti") if tried is not None else edges
+        new = materialise(spark, compared(materialise(spark, edges, "edges"), sets), "compared")
+        tried = new if tried is None else tried.unionByName(new)
+
+    def place(rows: DataFrame) -> DataFrame:
+        """``rows`` with ``root`` and the leader's ``lead_root``, of keys that hold several components."""
+        roots = materialise(spark, connected(spark, _links(tried, threshold)), "roots")
+        rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        heads = rooted.where("node = lead").select("key", F.col("root").alias("lead_root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return materialise(spark, rooted.join(mixed, "key").join(heads, "key"), "placed")
+
+    apart, reach = F.col("root") != F.col("lead_root"), 1 - threshold + 1e-6
+    for round_ in range(BANDS * PEELS):
+        compare(rows.where("node <> lead").select(*_pairs("lead", "node")))
+        placed = place(rows)
+        if not placed.take(1):
+            break
+        second = placed.where(~apart & (F.col("node") != F.col("lead"))).groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key")).alias("other"))
+        compare(placed.where(apart).join(second, "key").select(*_pairs("node", "other")))
+        placed = place(rows)
+        far = tried.select(F.col("u").alias("lead"), F.col("v").alias("node"), (1 - F.col("sim")).alias("far"))
+        measured = placed.where("node <> lead").join(far, ["lead", "node"])
+        outer = measured.where(apart & (F.col("far") <= 2 * reach)).select("key", F.col("node").alias("a"), F.col("far").alias("far_a"))
+        inner = measured.where(~apart).select("key", F.col("node").alias("b"), F.col("far").alias("far_b"))
+        near = outer.join(inner, "key").where(F.abs(F.col("far_a") - F.col("far_b")) <= reach).select(*_pairs("a", "b"))
+        rest = placed.where(apart).select("key", "used", "node", "root")
+        several = rest.groupBy("key").agg(F.count("*").alias("left"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "left")
+        rest = materialise(spark, rest.join(several, "key"), "rest")
+        last = round_ == BANDS * PEELS - 1  # these agree in all bands and can't be split further
+        settle = (F.col("left") <= SMALL) | F.lit(last)
+        few = rest.where(settle).select("key", "node", "root")
+        across = few.alias("a").join(few.alias("b"), "key").where("a.node < b.node and a.root <> b.root").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        compare(near.union(across))
+        many = rest.where(~settle).select("key", "used", "node")
+        if round_ % PEELS == PEELS - 1:
+            bands = many.join(nodes.select("node", "bands"), "node")
+            grown = F.transform(F.array_except("bands", "used"), lambda b: F.array_sort(F.concat("used", F.array(b))))
+            many = bands.select("node", F.explode(grown).alias("used")).distinct().withColumn("key", F.xxhash64("used"))
+        rows = materialise(spark, _crowded(many), "buckets")
+        if not rows.take(1):
+            break
+    return tried
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
@@ -244,35 +308,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
     nodes = materialise(spark, nodes, "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key")).withColumn("used", F.array("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
-    rows = materialise(spark, rows.join(crowded, "key"), "buckets")
+    rows = materialise(spark, _crowded(rows), "buckets")
     needed = rows.select("node").distinct().join(nodes, "node").select("id", "node")
     sets = materialise(spark, src.join(needed, "id").select("text", "node").mapInArrow(_set_task(shared, n), "node long, h binary, w binary"), "sets")
-    links, tried = None, None
-    for level in range(1, BANDS + 1):
-        edges = rows.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-        edges = edges.join(tried, ["u", "v"], "left_anti") if tried is not None else edges
-        edges = materialise(spark, edges, "edges")
-        tried = edges if tried is None else tried.union(edges)
-        new = materialise(spark, verified(edges, sets, threshold), "links")
-        links = new if links is None else links.union(new)
-        roots = materialise(spark, connected(spark, links), "roots")
-        placed = rows.join(roots, "node", "left").select("key", "used", "n", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        placed = materialise(spark, placed.join(mixed, "key"), "open")
-        settle = (F.col("n") <= SMALL) | F.lit(level == BANDS)  # texts that agree in all bands can't be split further
-        small = placed.where(settle)
-        pairs = small.alias("a").join(small.alias("b"), "key").where("a.node < b.node and a.root <> b.root").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        pairs = materialise(spark, pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        links = links.union(materialise(spark, verified(pairs, sets, threshold), "links"))
-        large = placed.where(~settle).join(nodes.select("node", "bands"), "node")
-        deeper = large.select("node", F.explode(F.transform(F.array_except("bands", "used"), lambda b: F.array_sort(F.concat("used", F.array(b))))).alias("used")).distinct().withColumn("key", F.xxhash64("used"))
-        crowded = deeper.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
-        rows = materialise(spark, deeper.join(crowded, "key"), "buckets")
-        if not rows.take(1):
-            break
-    roots = connected(spark, links)
+    tried = _settle(spark, rows, nodes, sets, threshold)
+    roots = connected(spark, _links(tried, threshold))
     own = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     classes = own.where("root is not null").groupBy("root").agg(F.min("id").alias("class"), F.count("*").alias("size")).where("size > 1")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
