@@ -10,7 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("tessera.plans.relational",)
+MODULES = (
+    "tessera.plans.relational",
+    "tessera.functions.strings",
+    "tessera.functions.maths",
+    "tessera.functions.dates",
+    "tessera.functions.collections",
+    "tessera.functions.aggregates",
+    "tessera.functions.udfs",
+    "tessera.operators.relational",
+    "tessera.plans.benchmarks",
+    "tessera.plans.rewrites",
+    "tessera.plans.coverage",
+    "tessera.sources.tables",
+    "tessera.streaming.windows",
+)
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
