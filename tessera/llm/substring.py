@@ -66,7 +66,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> bytes:
     """The values byte by byte, all lowest bytes first: bytes that are the same in all values then cost nothing once compressed."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _values(blobs: list[bytes], kind) -> np.ndarray:
