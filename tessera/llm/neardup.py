@@ -109,6 +109,7 @@ def idf_table(src: DataFrame) -> tuple[np.ndarray, int]:
             n = int(x[0])
         else:
             table[r.chunk * CHUNK : r.chunk * CHUNK + len(x)] = x
+    del rows
     return table.reshape(DEPTH, WIDTH), n
 
 
@@ -171,9 +172,9 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 _SIG = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sign_task(shared, n: int):
+def _sign_task(shared):
     def run(batches):
-        idf, sampler = idf_values(shared.value, n), Sampler()
+        idf, sampler = shared.value, Sampler()
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(0)):
                 words = Words(data, offsets)
@@ -190,9 +191,9 @@ def _sign_task(shared, n: int):
     return run
 
 
-def _set_task(shared, n: int):
+def _set_task(shared):
     def run(batches):
-        idf = idf_values(shared.value, n)
+        idf = shared.value
         for batch in batches:
             wanted = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in text_slices(batch.column(0)):
@@ -303,14 +304,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """``id_col``, ``class_id`` (smallest id of the class) and ``class_size``, one row for each row of ``docs``."""
     src = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
     table, n = idf_table(src)
-    shared = spark.sparkContext.broadcast(table)  # DEPTH * WIDTH counts, whatever the input
-    signed = materialise(spark, src.mapInArrow(_sign_task(shared, n), "id long, node long, bands array<long>"), "signatures")
+    shared = spark.sparkContext.broadcast(idf_values(table, n))  # DEPTH * WIDTH floats, whatever the input
+    del table
+    signed = materialise(spark, src.mapInArrow(_sign_task(shared), "id long, node long, bands array<long>"), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
     nodes = materialise(spark, nodes, "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key")).withColumn("used", F.array("key"))
     rows = materialise(spark, _crowded(rows), "buckets")
     needed = rows.select("node").distinct().join(nodes, "node").select("id", "node")
-    sets = materialise(spark, src.join(needed, "id").select("text", "node").mapInArrow(_set_task(shared, n), "node long, h binary, w binary"), "sets")
+    sets = materialise(spark, src.join(needed, "id").select("text", "node").mapInArrow(_set_task(shared), "node long, h binary, w binary"), "sets")
     tried = _settle(spark, rows, nodes, sets, threshold)
     roots = connected(spark, _links(tried, threshold))
     own = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
