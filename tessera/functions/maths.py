@@ -38,6 +38,9 @@ scalar("customer", [
     ("spark_partition_id", "spark_partition_id() >= 0", "TRUE"), ("monotonically_increasing_id", "monotonically_increasing_id() >= 0", "TRUE"), ("at_least_n_non_nulls", "int(nullif(c_nationkey, 3) IS NOT NULL) + int(c_name IS NOT NULL) >= 2", "c_nationkey <> 3"),
     ("check_overflow", "cast(cast(c_acctbal as decimal(12,2)) * cast(2 as decimal(12,2)) as double)", "round(c_acctbal, 2) * 2"), ("make_decimal", "cast(cast(c_custkey as decimal(10,2)) as string)", "c_custkey || '.00'"), ("unscaled_value", "cast(cast(c_acctbal as decimal(12,2)) * 100 as bigint)", "round(c_acctbal * 100)::BIGINT"),
     ("promote_precision", "cast(cast(c_nationkey as decimal(5,1)) + cast(1.25 as decimal(7,3)) as double)", "c_nationkey + 1.25::DOUBLE"), ("normalize_nan_zero", "if(c_acctbal * 0 = 0, 0D, 1D)", "0::DOUBLE"), ("known_not_null", "coalesce(c_name, '') = c_name", "TRUE"),
+    ("decimal_add", "cast(cast(c_acctbal as decimal(12,2)) + cast(c_custkey as decimal(10,3)) as double)", "round(c_acctbal, 2) + c_custkey"), ("decimal_subtract", "cast(cast(c_acctbal as decimal(12,2)) - cast(c_custkey as decimal(10,3)) as double)", "round(c_acctbal, 2) - c_custkey"),
+    ("decimal_divide", "round(cast(cast(c_acctbal as decimal(12,2)) / cast(4 as decimal(4,1)) as double), 4)", "round(round(c_acctbal, 2) / 4, 4)"), ("decimal_modulo", "cast(cast(c_custkey as decimal(12,2)) % cast(7 as decimal(4,1)) as double)", "(c_custkey % 7)::DOUBLE"), ("decimal_round", "cast(round(cast(c_acctbal as decimal(12,2)), 0) as double)", "round(round(c_acctbal, 2), 0)"),
+    ("cast_float_string", "cast(cast(c_nationkey as double) as string)", "c_nationkey || '.0'"), ("cast_timestamp_long", "cast(timestamp_seconds(c_custkey) as bigint)", "c_custkey"), ("cast_map_string", "cast(map('k', c_nationkey) as string)", "'{k -> ' || c_nationkey || '}'"), ("cast_struct_string", "cast(struct(c_nationkey, c_custkey) as string)", "'{' || c_nationkey || ', ' || c_custkey || '}'"),
     ("typeof", "typeof(c_custkey)", "'bigint'"), ("scalar_subquery", "c_acctbal > (SELECT avg(c_acctbal) FROM {customer})", "c_acctbal > (SELECT avg(c_acctbal) FROM customer)"),
     ("named_struct", "named_struct('a', c_custkey, 'b', c_name).b", "c_name"), ("get_struct_field", "struct(c_custkey AS k, c_nationkey AS n).n", "c_nationkey"),
 ])

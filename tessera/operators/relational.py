@@ -53,6 +53,11 @@ Q = {
     "top_k": ("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", None), "limit_offset": ("SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 10 OFFSET 5", None), "nulls_order": ("SELECT k FROM (SELECT nullif(n_nationkey, 3) AS k FROM {nation}) ORDER BY k DESC NULLS LAST LIMIT 24", None),
     "window_group_limit": ("SELECT o_custkey, o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM {orders}) WHERE r <= 3", None),
     "case_pivot": ("SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS o FROM {lineitem} GROUP BY 1", "SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS o FROM lineitem GROUP BY 1"),
+    "group_by_all": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ALL", None), "group_by_ordinal": ("SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY 1", None), "group_by_alias": ("SELECT o_custkey % 10 AS k, count(*) AS n FROM {orders} GROUP BY k", None),
+    "empty_project": ("SELECT count(1) AS n FROM {lineitem}", None), "group_limit": ("SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey ORDER BY o_custkey LIMIT 5", None), "aggregate_over_window": ("SELECT o_orderstatus, sum(count(*)) OVER (ORDER BY o_orderstatus) AS n FROM {orders} GROUP BY o_orderstatus", "SELECT o_orderstatus, (sum(count(*)) OVER (ORDER BY o_orderstatus))::BIGINT AS n FROM orders GROUP BY o_orderstatus"),
+    "groups_frame": ("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS g FROM {orders})", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders"),
+    "lag_negative": ("SELECT o_orderkey, lag(o_orderkey, -1, -7) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM {orders}", "SELECT o_orderkey, lead(o_orderkey, 1, -7) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders"),
+    "map_key_partition": ("SELECT k['a'] AS a, count(*) AS n FROM (SELECT map('a', o_custkey % 5) AS k FROM {orders}) GROUP BY k['a']", "SELECT o_custkey % 5 AS a, count(*) AS n FROM orders GROUP BY 1"),
     "table_valued_function": ("SELECT a.id AS x, b.col AS y FROM range(5) a, LATERAL explode(sequence(1L, a.id + 1)) b", "SELECT a.i AS x, b.j AS y FROM range(5) a(i), LATERAL (SELECT unnest(range(1, a.i + 2)) AS j) b"),
 }
 
