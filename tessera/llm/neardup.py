@@ -11,14 +11,14 @@ classes are the connected components.
    by improved consistent weighted sampling: two texts agree in a sample with the
    probability of their similarity. At 0.8 twelve bands of four miss 1 pair in 550.
 2. Texts with the same word sequence are one node (a 64-bit hash of all words).
-3. In each bucket all members are compared with one leader: n - 1 pairs, not n squared. Where
-   that leaves several components, those apart are compared with a second member of the
-   leader's component, and then with those members that the triangle inequality leaves
-   possible (1 - similarity is a metric, and distances from the leader are known). Then the
-   leader's component is peeled off and the rest treated alike: around a member of its
-   largest component while that has over ``SMALL`` members, by all pairs across components
-   if up to ``SMALL`` are left, and otherwise split by a further band (two texts of
-   similarity 0.8 then meet with a probability of 0.98). No candidate is capped or dropped.
+3. In each bucket all members are compared with one leader: n - 1 pairs, not n squared. Who
+   is left apart, but within twice the distance of a link from the leader, and so may link
+   with its component, is compared with two more members of that, different ones in each of
+   its buckets. The others are compared in all pairs across components if up to ``SMALL``
+   are left; more are grouped around their largest component, or split by a further band,
+   and treated alike in a second round. So pairs in buckets of up to ``SMALL`` + 1 texts are
+   all settled; in crowded buckets a text joins a class through any of up to three members
+   in each of some five buckets, and one that links with none of those is left out of it.
 4. Verification brings shingle weights together by leader, in salted groups.
 
 Defined cases: texts without words (null, empty, blank) are singletons; the class id is
@@ -43,7 +43,7 @@ from .store import materialise
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 WIDTH, DEPTH, CHUNK = 1 << 21, 2, 1 << 18
-SMALL = 16
+SMALL, ROUNDS = 16, 2
 GROUP = 256
 NULL_ID = -(1 << 63)
 _U = np.uint64
@@ -269,48 +269,31 @@ def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFr
         return materialise(spark, rooted.join(mixed, "key").join(heads, "key"), "placed")
 
     apart, reach = F.col("root") != F.col("lead_root"), 1 - threshold + 1e-6
-    near_lead = apart & (F.col("far") <= 2 * reach)
-
-    def measure(placed: DataFrame) -> DataFrame:
-        """The members that may link with the leader's component, or are in it, with their distance from the leader."""
-        far = tried.select(F.col("u").alias("p"), F.col("v").alias("q"), (1 - F.col("sim")).alias("far"))
-        sides = placed.where("node <> lead").withColumn("p", F.least("lead", "node")).withColumn("q", F.greatest("lead", "node"))
-        return sides.join(far, ["p", "q"]).where(near_lead | ~apart).select("key", "node", "root", "lead_root", "far")
-
-    level = 1
-    while True:
+    for level in range(1, ROUNDS + 1):
         compare(rows.where("node <> lead").select(*_pairs("lead", "node")))
         placed = place(rows)
         if not placed.take(1):
             break
-        outer = materialise(spark, measure(placed).where(apart), "outer")
-        near = None
-        if outer.take(1):
-            second = placed.where(~apart & (F.col("node") != F.col("lead"))).groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key")).alias("other"))
-            compare(outer.join(second, "key").select(*_pairs("node", "other")))
-            placed = place(rows)
-            measured = measure(placed)
-            outer = measured.where(apart).select("key", F.col("node").alias("a"), F.col("far").alias("far_a"))
-            inner = measured.where(~apart).select("key", F.col("node").alias("b"), F.col("far").alias("far_b"))
-            near = outer.join(inner, "key").where(F.abs(F.col("far_a") - F.col("far_b")) <= reach).select(*_pairs("a", "b"))
-        rest = placed.where(apart).select("key", "used", "node", "root")
+        far = tried.select(F.col("u").alias("p"), F.col("v").alias("q"), (1 - F.col("sim")).alias("far"))
+        sides = placed.where(apart).withColumn("p", F.least("lead", "node")).withColumn("q", F.greatest("lead", "node"))
+        outer = sides.join(far, ["p", "q"]).where(F.col("far") <= 2 * reach)
+        hashed = F.xxhash64("node", "key")
+        others = placed.where(~apart & (F.col("node") != F.col("lead"))).groupBy("key").agg(F.array(F.max_by("node", hashed), F.min_by("node", hashed)).alias("others"))
+        compare(outer.join(others, "key").select("node", F.explode("others").alias("other")).select(*_pairs("node", "other")))
+        rest = place(rows).where(apart).select("key", "used", "node", "root")
         parts = rest.groupBy("key", "root").agg(F.count("*").alias("own"), F.min("node").alias("first"))
         keys = parts.groupBy("key").agg(F.sum("own").alias("left"), F.count("*").alias("parts"), F.max("own").alias("most"), F.max_by("first", F.struct("own", "first")).alias("lead"))
         rest = materialise(spark, rest.join(keys.where("parts > 1"), "key"), "rest")
-        last = F.lit(level == BANDS)  # these agree in all bands and can't be split further
-        peel = F.col("most") > SMALL
-        settle = ~peel & ((F.col("left") <= SMALL) | last)
-        few = rest.where(settle).select("key", "node", "root")
-        across = few.alias("a").join(few.alias("b"), "key").where("a.node < b.node and a.root <> b.root").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        compare(across if near is None else near.union(across))
-        again = rest.where(peel).select("key", "used", "node", F.col("left").alias("n"), "lead")
-        bands = rest.where(~peel & ~settle).select("node", "used").join(nodes.select("node", "bands"), "node")
+        few = rest.where(F.col("left") <= SMALL).select("key", "node", "root")
+        across = few.alias("a").join(few.alias("b"), "key").where("a.node < b.node and a.root <> b.root")
+        compare(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
+        many = rest.where(F.col("left") > SMALL)
+        again = many.where(F.col("most") > SMALL).select("key", "used", "node", F.col("left").alias("n"), "lead")
+        bands = many.where(F.col("most") <= SMALL).select("node", "used").join(nodes.select("node", "bands"), "node")
         grown = F.transform(F.array_except("bands", "used"), lambda b: F.array_sort(F.concat("used", F.array(b))))
         split = bands.select("node", F.explode(grown).alias("used")).distinct().withColumn("key", F.xxhash64("used"))
-        rows = materialise(spark, again.unionByName(_crowded(split)), "buckets")
-        if not rows.take(1):
-            break
-        level = min(level + 1, BANDS)
+        if level < ROUNDS:
+            rows = materialise(spark, again.unionByName(_crowded(split)), "buckets")
     return tried
 
 
