@@ -288,6 +288,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     del bits
     buckets, parts = max(16, windows // 1_000_000), max(16, size // (8 << 20))
     found = materialise(spark, src.mapInArrow(_candidate_task(window, width, shared, buckets, parts), _EXACT_SQL), "candidates")
+    shared.destroy()  # what it was for is written; workers would keep it
     exact = found.where("kind = 0").groupBy("key").applyInArrow(_exact_task(parts), _EXACT_SQL)
     marks = found.where("kind = 1").unionByName(exact).select("key", "ids", "starts")
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(f"carry_{c}") for c in carry))
