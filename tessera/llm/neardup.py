@@ -310,6 +310,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = materialise(spark, _crowded(rows), "buckets")
     needed = rows.select("node").distinct().join(nodes, "node").select("id", "node")
     sets = materialise(spark, src.join(needed, "id").select("text", "node").mapInArrow(_set_task(shared), "node long, h binary, w binary"), "sets")
+    shared.destroy()  # signatures and sets are written
     tried = _settle(spark, rows, nodes, sets, threshold)
     roots = connected(spark, _links(tried, threshold))
     own = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
