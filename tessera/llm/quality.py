@@ -138,7 +138,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
     marks = marks.where(learn) if learn is not None else marks
     marks = marks.groupBy(F.col(id_col).alias("id_")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y_"))
     marks = marks.orderBy(F.xxhash64("id_"), "id_").limit(most_rows)
-    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(marks, "id_")
+    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(marks), "id_")  # at most most_rows pairs of numbers
     rows = statistics(texts, "text_").select("id_", "y_", *(F.col(f"stat_.{n}").alias(n) for n in NAMES)).toPandas()
     rows = rows.sort_values(["id_", *NAMES], kind="stable").head(most_rows)  # rows of one id may repeat
     return fit_rules(rows[list(NAMES)].to_numpy(np.float64), rows["y_"].to_numpy(np.float64))
