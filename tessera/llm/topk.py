@@ -90,9 +90,8 @@ class Searcher:
     def __init__(self, q: np.ndarray, q_ids: np.ndarray, tree: CoverTree, k: int, floor: np.ndarray):
         self.q, self.q_ids, self.tree, self.k, self.floor = q, q_ids, tree, k, floor.copy()
         self.norms = np.linalg.norm(q, axis=1)
-        n = len(q)
         self.who, self.ids, self.scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
-        self.visited = n and 0
+        self.visited = 0  # pairs of vectors compared
 
     def search(self, x: np.ndarray, ids: np.ndarray, tree: CoverTree) -> None:
         self.x, self.ids_x, self.data, self.x_norms = x, ids, tree, np.linalg.norm(x, axis=1)
@@ -147,7 +146,7 @@ class Searcher:
         near = np.where(ok, m.astype(np.float64), -np.inf)
         floor = self.floor[rows]
         if near.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(near, -self.k, axis=1)[:, -self.k] * 1.0)
+            floor = np.maximum(floor, np.partition(near, -self.k, axis=1)[:, -self.k])
         slack = 1e-9 * np.where(np.isfinite(floor), np.abs(floor), 0) if m.dtype == object else 0.0
         i, j = np.nonzero(ok & (near >= (floor - slack)[:, None]))
         if not len(i):
