@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import drop_since, materialise, written
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -18,15 +18,17 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Both steps replace a node's edges by as many edges to its smallest neighbour, so the
     table never grows past one row an edge, and hub nodes are aggregated before the shuffle.
     """
+    mark = written()
     now = materialise(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     seen = _print(now)
     while seen[0]:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         now = materialise(spark, small, "edges")
+        drop_since(spark, mark, (now,))
         if (then := _print(now)) == seen:
             break
         seen = then

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .hashing import Words, mix, text_slices
-from .store import materialise
+from .store import drop_since, materialise, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -280,7 +280,7 @@ def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFr
         hashed = F.xxhash64("node", "key")
         others = placed.where(~apart & (F.col("node") != F.col("lead"))).groupBy("key").agg(F.array(F.max_by("node", hashed), F.min_by("node", hashed)).alias("others"))
         compare(outer.join(others, "key").select("node", F.explode("others").alias("other")).select(*_pairs("node", "other")))
-        rest = place(rows).where(apart).select("key", "used", "node", "root")
+        rest = placed.where(apart).select("key", "used", "node", "root")
         parts = rest.groupBy("key", "root").agg(F.count("*").alias("own"), F.min("node").alias("first"))
         keys = parts.groupBy("key").agg(F.sum("own").alias("left"), F.count("*").alias("parts"), F.max("own").alias("most"), F.max_by("first", F.struct("own", "first")).alias("lead"))
         rest = materialise(spark, rest.join(keys.where("parts > 1"), "key"), "rest")
@@ -300,6 +300,7 @@ def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, ``class_id`` (smallest id of the class) and ``class_size``, one row for each row of ``docs``."""
     src = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
+    mark = written()
     table, n = idf_table(src)
     shared = spark.sparkContext.broadcast(idf_values(table, n))  # DEPTH * WIDTH floats, whatever the input
     del table
@@ -312,7 +313,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sets = materialise(spark, src.join(needed, "id").select("text", "node").mapInArrow(_set_task(shared), "node long, h binary, w binary"), "sets")
     shared.destroy()  # signatures and sets are written
     tried = _settle(spark, rows, nodes, sets, threshold)
-    roots = connected(spark, _links(tried, threshold))
+    roots = materialise(spark, connected(spark, _links(tried, threshold)), "roots")
+    drop_since(spark, mark, (signed, roots))
     own = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     classes = own.where("root is not null").groupBy("root").agg(F.min("id").alias("class"), F.count("*").alias("size")).where("size > 1")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

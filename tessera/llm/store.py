@@ -28,12 +28,32 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/tessera-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.tessera_path = path
+    return back
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that ``materialise`` has written; call it when results have been stored."""
+def written() -> int:
+    """How many tables there are: what ``drop_since`` starts from."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables written since ``mark``, but for ``keep``. What is kept was read back from files and needs no other."""
+    kept = {df.tessera_path for df in keep}
+    gone = [p for p in _WRITTEN[mark:] if p not in kept]
+    _WRITTEN[mark:] = [p for p in _WRITTEN[mark:] if p in kept]
+    _delete(spark, gone)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(hadoop).delete(path.getParent(), True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` has written; call it when results have been stored."""
+    _delete(spark, _WRITTEN)
+    _WRITTEN.clear()
