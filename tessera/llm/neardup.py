@@ -11,14 +11,13 @@ classes are the connected components.
    by improved consistent weighted sampling: two texts agree in a sample with the
    probability of their similarity. At 0.8 twelve bands of four miss 1 pair in 550.
 2. Texts with the same word sequence are one node (a 64-bit hash of all words).
-3. In each bucket all members are compared with one leader: n - 1 pairs, not n squared. Who
-   is left apart, but within twice the distance of a link from the leader, and so may link
-   with its component, is compared with two more members of that, different ones in each of
-   its buckets. The others are compared in all pairs across components if up to ``SMALL``
-   are left; more are grouped around their largest component, or split by a further band,
-   and treated alike in a second round. So pairs in buckets of up to ``SMALL`` + 1 texts are
-   all settled; in crowded buckets a text joins a class through any of up to three members
-   in each of some five buckets, and one that links with none of those is left out of it.
+3. In each bucket all members are compared with one leader: n - 1 pairs, not n squared. Where
+   that leaves several components, all pairs across them are settled, the leader's among them,
+   but for those that the members' own distances from the leader rule out (1 - similarity is
+   a metric). In buckets of up to ``SMALL`` + 1 texts these pairs are listed, once for all
+   buckets that they share; larger ones are dealt to pairs of blocks, and a text is sent once
+   a pair of blocks. So no pair of texts that share a bucket is capped or dropped; the work
+   in a bucket grows with the number of texts outside its largest component, times its size.
 4. Verification brings shingle weights together by leader, in salted groups.
 
 Defined cases: texts without words (null, empty, blank) are singletons; the class id is
@@ -43,8 +42,7 @@ from .store import drop_since, materialise, written
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 WIDTH, DEPTH, CHUNK = 1 << 21, 2, 1 << 18
-SMALL, ROUNDS = 16, 2
-GROUP = 256
+SMALL, GROUP, BLOCK = 16, 256, 128
 NULL_ID = -(1 << 63)
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
@@ -249,52 +247,85 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "key")
 
 
+def _blocks_task(threshold: float):
+    reach = 1 - threshold + 1e-6
+
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between the blocks ``left`` and ``right`` of a bucket, one for each two components that they join."""
+        bucket, left, right = group
+        side, node, far, bands = rows.block.to_numpy(), rows.node.to_numpy(), rows.far.to_numpy(), np.array(rows.bands.tolist(), dtype=np.int64).reshape(len(rows), -1)
+        mine, theirs, out = np.flatnonzero(side == left), np.flatnonzero(side == right), []
+        part = np.unique(rows.root.to_numpy(), return_inverse=True)[1]
+        ends = np.cumsum([len(x) // 8 for x in rows.h])
+        starts = ends - [len(x) // 8 for x in rows.h]
+        w = np.frombuffer(b"".join(rows.w), dtype=np.float32)
+        seen, at = np.unique(np.frombuffer(b"".join(rows.h), dtype=_U), return_inverse=True)
+        mass, dense = np.add.reduceat(w, starts, dtype=np.float64), np.zeros(len(seen), dtype=np.float32)
+        for i in mine:
+            to = theirs[theirs > i] if left == right else theirs
+            first = (bands[to] == bands[i]).argmax(axis=1)  # a pair belongs to the first bucket that it shares
+            maybe = (part[to] != part[i]) & (bands[i][first] == bucket) & (np.abs(far[to] - far[i]) <= reach)
+            to = to[maybe & (np.minimum(mass[to], mass[i]) >= (threshold - 1e-6) * np.maximum(mass[to], mass[i]))]
+            if not len(to):
+                continue
+            own = slice(starts[i], ends[i])
+            dense[at[own]] = w[own]
+            lengths = ends[to] - starts[to]
+            cells = np.concatenate([np.arange(starts[k], ends[k]) for k in to])
+            both = np.add.reduceat(np.minimum(dense[at[cells]], w[cells]), np.cumsum(lengths) - lengths, dtype=np.float64)
+            dense[at[own]] = 0
+            for k in to[both / (mass[i] + mass[to] - both) >= threshold - 1e-9]:
+                if part[k] != part[i]:
+                    out.append((min(node[i], node[k]), max(node[i], node[k])))
+                    part[part == part[k]] = part[i]
+        return pd.DataFrame(out, columns=["u", "v"]).astype({"u": "int64", "v": "int64"})
+
+    return run
+
+
+def _block_links(spark: SparkSession, large: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links across components in the buckets ``large`` (key, node, root, far), whatever their size.
+
+    A bucket's largest component and its other members are dealt to blocks of about BLOCK;
+    all pairs of blocks meet, but for two of the largest component. A task holds two blocks.
+    """
+    parts = large.groupBy("key", "root").agg(F.count("*").alias("own"))
+    split = lambda c: F.ceil(F.col(c) / BLOCK)
+    keys = parts.groupBy("key").agg(F.max(F.struct("own", "root")).alias("top_"), F.sum("own").alias("all_"))
+    keys = keys.select("key", F.col("top_.root").alias("main"), F.col("top_.own").alias("own"), (F.col("all_") - F.col("top_.own")).alias("other"))
+    keys = keys.select("key", "main", split("own").alias("mains"), split("other").alias("others"))
+    hashed, main = F.xxhash64("node", "key"), F.col("root") == F.col("main")
+    block = F.when(main, F.pmod(hashed, "mains")).otherwise(F.col("mains") + F.pmod(hashed, "others"))
+    dealt = large.join(keys, "key").withColumn("block", block)
+    with_ = F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1))
+    dealt = dealt.select("key", "node", "root", "far", "block", with_.alias("with_"))
+    dealt = dealt.select("key", "node", "root", "far", "block", F.least("block", "with_").alias("left"), F.greatest("block", "with_").alias("right"))
+    full = dealt.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    full = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "left", "right")  # few bytes, much work: not to be coalesced
+    return materialise(spark, full.groupBy("key", "left", "right").applyInPandas(_blocks_task(threshold), "u long, v long"), "links")
+
+
 def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """All comparisons (u < v, sim) that the buckets ``rows`` (key, used, node, n, lead) call for."""
-    tried = None
-
-    def compare(edges: DataFrame) -> None:
-        nonlocal tried
-        edges = edges.distinct()
-        edges = edges.join(tried.select("u", "v"), ["u", "v"], "left_anti") if tried is not None else edges
-        new = materialise(spark, compared(materialise(spark, edges, "edges"), sets), "compared")
-        tried = new if tried is None else tried.unionByName(new)
-
-    def place(rows: DataFrame) -> DataFrame:
-        """``rows`` with ``root`` and the leader's ``lead_root``, of keys that hold several components."""
-        roots = materialise(spark, connected(spark, _links(tried, threshold)), "roots")
-        rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        heads = rooted.where("node = lead").select("key", F.col("root").alias("lead_root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return materialise(spark, rooted.join(mixed, "key").join(heads, "key"), "placed")
-
-    apart, reach = F.col("root") != F.col("lead_root"), 1 - threshold + 1e-6
-    for level in range(1, ROUNDS + 1):
-        compare(rows.where("node <> lead").select(*_pairs("lead", "node")))
-        placed = place(rows)
-        if not placed.take(1):
-            break
-        far = tried.select(F.col("u").alias("p"), F.col("v").alias("q"), (1 - F.col("sim")).alias("far"))
-        sides = placed.where(apart).withColumn("p", F.least("lead", "node")).withColumn("q", F.greatest("lead", "node"))
-        outer = sides.join(far, ["p", "q"]).where(F.col("far") <= 2 * reach)
-        hashed = F.xxhash64("node", "key")
-        others = placed.where(~apart & (F.col("node") != F.col("lead"))).groupBy("key").agg(F.array(F.max_by("node", hashed), F.min_by("node", hashed)).alias("others"))
-        compare(outer.join(others, "key").select("node", F.explode("others").alias("other")).select(*_pairs("node", "other")))
-        rest = placed.where(apart).select("key", "used", "node", "root")
-        parts = rest.groupBy("key", "root").agg(F.count("*").alias("own"), F.min("node").alias("first"))
-        keys = parts.groupBy("key").agg(F.sum("own").alias("left"), F.count("*").alias("parts"), F.max("own").alias("most"), F.max_by("first", F.struct("own", "first")).alias("lead"))
-        rest = materialise(spark, rest.join(keys.where("parts > 1"), "key"), "rest")
-        few = rest.where(F.col("left") <= SMALL).select("key", "node", "root")
-        across = few.alias("a").join(few.alias("b"), "key").where("a.node < b.node and a.root <> b.root")
-        compare(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
-        many = rest.where(F.col("left") > SMALL)
-        again = many.where(F.col("most") > SMALL).select("key", "used", "node", F.col("left").alias("n"), "lead")
-        bands = many.where(F.col("most") <= SMALL).select("node", "used").join(nodes.select("node", "bands"), "node")
-        grown = F.transform(F.array_except("bands", "used"), lambda b: F.array_sort(F.concat("used", F.array(b))))
-        split = bands.select("node", F.explode(grown).alias("used")).distinct().withColumn("key", F.xxhash64("used"))
-        if level < ROUNDS:
-            rows = materialise(spark, again.unionByName(_crowded(split)), "buckets")
-    return tried
+    """Links (u < v) that join all texts of similarity ``threshold`` or more that share a bucket of ``rows`` (key, node, n, lead)."""
+    edges = materialise(spark, rows.where("node <> lead").select(*_pairs("lead", "node")).distinct(), "edges")
+    tried = materialise(spark, compared(edges, sets), "compared")
+    roots = materialise(spark, connected(spark, _links(tried, threshold)), "roots")
+    rooted = rows.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    heads = rooted.where("node = lead").select("key", F.col("root").alias("lead_root"))
+    far = tried.select(F.col("u").alias("lead"), F.col("v").alias("node"), (1 - F.col("sim")).alias("far"))
+    placed = rooted.join(mixed, "key").join(heads, "key").join(far, ["lead", "node"], "left").select("key", "lead", "node", "root", "lead_root", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
+    placed = materialise(spark, placed, "placed")
+    few, reach = placed.where(F.col("n") <= SMALL + 1), 1 - threshold + 1e-6
+    apart, hashed = F.col("root") != F.col("lead_root"), F.xxhash64("node", "key")
+    others = few.where(~apart & (F.col("node") != F.col("lead"))).groupBy("key").agg(F.array(F.max_by("node", hashed), F.min_by("node", hashed)).alias("others"))
+    asked = few.where(apart & (F.col("far") <= 2 * reach)).join(others, "key").select("node", F.explode("others").alias("other")).select(*_pairs("node", "other"))
+    rest = few.where(apart)
+    across = rest.alias("a").join(rest.alias("b"), "key").where("a.node < b.node and a.root <> b.root").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    across = asked.union(across).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
+    more = materialise(spark, compared(materialise(spark, across, "edges"), sets), "compared")
+    large = _block_links(spark, placed.where(F.col("n") > SMALL + 1), nodes, sets, threshold)
+    return _links(tried, threshold).union(_links(more, threshold)).union(large)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
@@ -307,13 +338,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     signed = materialise(spark, src.mapInArrow(_sign_task(shared), "id long, node long, bands array<long>"), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
     nodes = materialise(spark, nodes, "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key")).withColumn("used", F.array("key"))
+    rows = nodes.select("node", F.explode("bands").alias("key"))
     rows = materialise(spark, _crowded(rows), "buckets")
     needed = rows.select("node").distinct().join(nodes, "node").select("id", "node")
     sets = materialise(spark, src.join(needed, "id").select("text", "node").mapInArrow(_set_task(shared), "node long, h binary, w binary"), "sets")
     shared.destroy()  # signatures and sets are written
-    tried = _settle(spark, rows, nodes, sets, threshold)
-    roots = materialise(spark, connected(spark, _links(tried, threshold)), "roots")
+    roots = materialise(spark, connected(spark, _settle(spark, rows, nodes, sets, threshold)), "roots")
     drop_since(spark, mark, (signed, roots))
     own = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     classes = own.where("root is not null").groupBy("root").agg(F.min("id").alias("class"), F.count("*").alias("size")).where("size > 1")
