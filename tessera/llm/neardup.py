@@ -317,12 +317,10 @@ def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFr
     placed = rooted.join(mixed, "key").join(heads, "key").join(far, ["lead", "node"], "left").select("key", "lead", "node", "root", "lead_root", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
     placed = materialise(spark, placed, "placed")
     few, reach = placed.where(F.col("n") <= SMALL + 1), 1 - threshold + 1e-6
-    apart, hashed = F.col("root") != F.col("lead_root"), F.xxhash64("node", "key")
-    others = few.where(~apart & (F.col("node") != F.col("lead"))).groupBy("key").agg(F.array(F.max_by("node", hashed), F.min_by("node", hashed)).alias("others"))
-    asked = few.where(apart & (F.col("far") <= 2 * reach)).join(others, "key").select("node", F.explode("others").alias("other")).select(*_pairs("node", "other"))
-    rest = few.where(apart)
-    across = rest.alias("a").join(rest.alias("b"), "key").where("a.node < b.node and a.root <> b.root").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    across = asked.union(across).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
+    apart = lambda t: F.col(f"{t}.root") != F.col(f"{t}.lead_root")
+    near = (apart("a") & apart("b")) | (F.when(apart("a"), F.col("a.far")).otherwise(F.col("b.far")) <= 2 * reach)
+    across = few.alias("a").join(few.alias("b"), "key").where("a.node < b.node and a.root <> b.root").where(near)
+    across = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
     more = materialise(spark, compared(materialise(spark, across, "edges"), sets), "compared")
     large = _block_links(spark, placed.where(F.col("n") > SMALL + 1), nodes, sets, threshold)
     return _links(tried, threshold).union(_links(more, threshold)).union(large)

@@ -36,3 +36,12 @@ def test_crowded_bucket_of_many_small_classes(spark):
 def test_crowded_bucket_of_a_chain_and_others(spark):
     chain = {i: span(5 * (i * 37 % 300), 5 * (i * 37 % 300) + 100) for i in range(300)}
     assert lost(spark, chain, {7: list(chain), 8: list(range(0, 300, 2)), 9: list(range(0, 300, 30))}) == []
+
+
+def test_small_bucket_meets_all_members_of_the_leaders_component(spark):
+    texts, buckets = {}, {}
+    for k in range(12):
+        at, n = 10_000 * (k + 1), 10 * k
+        texts |= {n + i: span(at + shift, at + shift + 100) for i, shift in enumerate((0, -5, -6, 7, 14))}
+        buckets[k + 1] = list(range(n, n + 5))
+    assert lost(spark, texts, buckets) == []
