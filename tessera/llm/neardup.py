@@ -312,13 +312,11 @@ def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFr
     roots = materialise(spark, connected(spark, _links(tried, threshold)), "roots")
     rooted = rows.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    heads = rooted.where("node = lead").select("key", F.col("root").alias("lead_root"))
     far = tried.select(F.col("u").alias("lead"), F.col("v").alias("node"), (1 - F.col("sim")).alias("far"))
-    placed = rooted.join(mixed, "key").join(heads, "key").join(far, ["lead", "node"], "left").select("key", "lead", "node", "root", "lead_root", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
+    placed = rooted.join(mixed, "key").join(far, ["lead", "node"], "left").select("key", "node", "root", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
     placed = materialise(spark, placed, "placed")
-    few, reach = placed.where(F.col("n") <= SMALL + 1), 1 - threshold + 1e-6
-    apart = lambda t: F.col(f"{t}.root") != F.col(f"{t}.lead_root")
-    near = (apart("a") & apart("b")) | (F.when(apart("a"), F.col("a.far")).otherwise(F.col("b.far")) <= 2 * reach)
+    few = placed.where(F.col("n") <= SMALL + 1)
+    near = F.abs(F.col("a.far") - F.col("b.far")) <= 1 - threshold + 1e-6
     across = few.alias("a").join(few.alias("b"), "key").where("a.node < b.node and a.root <> b.root").where(near)
     across = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
     more = materialise(spark, compared(materialise(spark, across, "edges"), sets), "compared")

@@ -45,3 +45,8 @@ def test_small_bucket_meets_all_members_of_the_leaders_component(spark):
         texts |= {n + i: span(at + shift, at + shift + 100) for i, shift in enumerate((0, -5, -6, 7, 14))}
         buckets[k + 1] = list(range(n, n + 5))
     assert lost(spark, texts, buckets) == []
+
+
+def test_small_bucket_with_a_member_linked_to_the_leader_elsewhere(spark):
+    texts = {i: span(11 * i, 11 * i + 100) for i in range(4)}
+    assert lost(spark, texts, {1: [0, 1], 2: [1, 2], 3: [0, 2, 3]}) == []
