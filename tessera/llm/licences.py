@@ -49,10 +49,9 @@ def _shingles(words: Column) -> Column:
 
 
 def _minima(hashes: Column) -> Column:
-    """One minimum for each band: xor with a constant makes another order of the same hashes."""
-    masks = [F.xxhash64(F.lit(b), F.lit("band")) for b in range(BANDS)]
-    flip = lambda m: lambda h: h.bitwiseXOR(m)
-    return F.array(*(F.array_min(F.transform(hashes, flip(m))) for m in masks))
+    """One minimum for each band: hashing again with the band makes an order that is independent of the others'."""
+    again = lambda b: lambda h: F.xxhash64(h, F.lit(b))
+    return F.array(*(F.array_min(F.transform(hashes, again(b))) for b in range(BANDS)))
 
 
 def _table(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> tuple[DataFrame, list[int]]:
