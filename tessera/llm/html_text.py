@@ -3,8 +3,9 @@
 The builder knows void elements, raw-text elements (script, style, ...) and implied tags: a
 block closes an open paragraph, an item closes an item, a cell a cell, a row a row, an
 option an option; stray end tags are ignored. Hidden are the head, scripts, styles,
-templates, form values that no page shows, and elements with ``hidden`` or a style of
-``display: none`` (their descendants too) or ``visibility: hidden``.
+templates, form values that no page shows, and elements with an attribute ``hidden`` or a
+style of ``display: none``, with their descendants; ``visibility: hidden`` hides text but
+not that of descendants that are ``visible`` again.
 
 The renderer emits all visible text: white space collapses, except in ``pre``; blocks start
 new lines, paragraphs and headings stand between blank lines; list items carry a dash or
@@ -42,9 +43,13 @@ _OPEN = re.compile(r"<(?=[a-zA-Z!?/])")
 _OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/](?![a-zA-Z])[^>]*>|<![^>]*>", re.S)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_HIDE = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*(?:"[^"]*?|'[^']*?|)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""", re.I)
+_ATTR = re.compile(r"""([^\s/][^\s/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|\S*))?""")
+_DECLARED = re.compile(r"""(?:[^;"'(]|"[^"]*"|'[^']*'|\((?:[^)"']|"[^"]*"|'[^']*')*\)|["'(])+""")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
+_START = re.compile(r"\s*([+-]?\d{1,9})")
+#: rows that collapse are taken out of their table
+ROWS = frozenset("tr thead tbody tfoot".split())
 
 
 class Node:
@@ -193,10 +198,39 @@ class Out:
         return self.lines
 
 
-def visible(node: Node) -> bool:
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by name, in lower case; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTR.findall(attrs):
+        out.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value))
+    return out
+
+
+def declarations(style: str) -> dict[str, str]:
+    """Values of a style attribute by property; the last counts, but for important ones."""
+    out: dict[str, str] = {}
+    urgent = set()
+    for part in _DECLARED.findall(_COMMENT.sub(" ", style)):
+        name, colon, value = part.partition(":")
+        name, (value, bang, _) = name.strip().lower(), value.lower().partition("!")
+        if colon and (bang or name not in urgent):
+            out[name] = value.strip()
+            urgent |= {name} if bang else set()
+    return out
+
+
+def visible(node: Node, shown: bool = True) -> tuple[bool, bool]:
+    """Whether the element is rendered at all, and whether its own text shows (``shown``: its parent's does)."""
     if node.tag in HIDDEN:
-        return False
-    return not (node.attrs and _HIDE.search(node.attrs)) and not (node.tag == "dialog" and not re.search(r"(?:^|\s)open(?=[\s=/]|$)", node.attrs))
+        return False, False
+    named = attributes(node.attrs) if node.attrs else {}
+    if "hidden" in named or (node.tag == "dialog" and "open" not in named):
+        return False, False
+    style = declarations(named["style"]) if "style" in named else {}
+    seen = style.get("visibility")
+    if style.get("display") == "none" or (seen == "collapse" and node.tag in ROWS):
+        return False, False
+    return True, (seen in ("visible", "initial") or (shown and seen not in ("hidden", "collapse")))
 
 
 def _aligned(rows: list[list[list[str]]]) -> list[str]:
@@ -221,22 +255,24 @@ def render(root: Node) -> str:
     outs = [Out()]
     tables: list[list[list[list[str]]]] = []
     lists: list[list] = []
-    todo: list = [(root, False)]
+    todo: list = [(root, False, True)]
     while todo:
         item = todo.pop()
         if callable(item):
             item()
             continue
-        node, pre = item
+        node, pre, shown = item
         out = outs[-1]
         if isinstance(node, str):
-            out.text(node, pre)
+            if shown:
+                out.text(node, pre)
             continue
         tag = node.tag
-        if not visible(node):
+        rendered, shown = visible(node, shown)
+        if not rendered:
             continue
         if tag == "br":
-            out.end(True)
+            out.end(shown)
             continue
         if tag == "hr":
             out.block(False)
@@ -249,7 +285,7 @@ def render(root: Node) -> str:
             out.block(spaced)
             todo.append(lambda o=out, s=spaced: o.block(s))
         if tag in ("ul", "ol", "menu"):
-            m = _START.search(node.attrs) if tag == "ol" else None
+            m = _START.match(attributes(node.attrs).get("start", "")) if tag == "ol" else None
             lists.append([tag, int(m[1]) if m else 1])
             out.indent += 1
             todo.append(lambda o=out: (lists.pop(), setattr(o, "indent", o.indent - 1)))
@@ -284,7 +320,7 @@ def render(root: Node) -> str:
                 lists = held
 
             todo.append(leave_cell)
-        todo += [(k, pre) for k in reversed(node.kids)]
+        todo += [(k, pre, shown) for k in reversed(node.kids)]
     return "\n".join(outs[0].done())
 
 
