@@ -3,7 +3,8 @@
 The builder knows void elements, raw-text elements (script, style, ...) and implied tags: a
 block closes an open paragraph, an item closes an item, a cell a cell, a row a row, an
 option an option; stray end tags are ignored. Hidden are the head, scripts, styles,
-templates, form values that no page shows, and elements with an attribute ``hidden`` or a
+templates, fallbacks of embedded media, options that are not chosen, what SVG and MathML
+hold beside their text (descriptions, definitions, annotations), and elements with an attribute ``hidden`` or a
 style of ``display: none``, with their descendants; ``visibility: hidden`` hides text but
 not that of descendants that are ``visible`` again.
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript datalist iframe noembed noframes object audio video canvas svg math select textarea title meta link rp".split())
+HIDDEN = frozenset("head script style template noscript datalist iframe noembed noframes object audio video canvas title meta link rp".split())
+#: within these, until HTML begins again: what they hold beside what they show
+FOREIGN = {"svg": frozenset("desc defs metadata symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot option optgroup legend caption".split())
@@ -122,7 +125,7 @@ def parse(page: str) -> Node:
         stack[-1].kids.append(node)
         if tag in VOID:
             continue
-        if tag in RAW:
+        if tag in RAW and not (m[3].endswith("/") and (where.get("svg") or where.get("math"))):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             body = page[at : end.start() if end else len(page)]
             node.kids.append(html.unescape(body) if tag in ("title", "textarea") else body)
@@ -233,6 +236,24 @@ def visible(node: Node, shown: bool = True) -> tuple[bool, bool]:
     return True, (seen in ("visible", "initial") or (shown and seen not in ("hidden", "collapse")))
 
 
+def chosen(select: Node) -> list:
+    """What a select shows: all options of a list box, and of a menu what the last selected or else the first holds."""
+    named = attributes(select.attrs)
+    options, todo = [], list(reversed(select.kids))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node) and visible(node)[0]:
+            if node.tag == "option":
+                options.append(node)
+            else:
+                todo += reversed(node.kids)
+    if "multiple" in named or ((size := named.get("size", "").strip()).isdecimal() and int(size) > 1):
+        return options
+    first = [o for o in options if "disabled" not in attributes(o.attrs)] or options
+    shown = ([o for o in options if "selected" in attributes(o.attrs)] or first[:1])[-1:]
+    return [kid for o in shown for kid in o.kids]
+
+
 def _aligned(rows: list[list[list[str]]]) -> list[str]:
     """Rows of cells (lines each), in columns."""
     width: list[int] = []
@@ -255,13 +276,13 @@ def render(root: Node) -> str:
     outs = [Out()]
     tables: list[list[list[list[str]]]] = []
     lists: list[list] = []
-    todo: list = [(root, False, True)]
+    todo: list = [(root, False, True, "")]
     while todo:
         item = todo.pop()
         if callable(item):
             item()
             continue
-        node, pre, shown = item
+        node, pre, shown, foreign = item
         out = outs[-1]
         if isinstance(node, str):
             if shown:
@@ -269,7 +290,7 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         rendered, shown = visible(node, shown)
-        if not rendered:
+        if not rendered or tag in FOREIGN.get(foreign, ()):
             continue
         if tag == "br":
             out.end(shown)
@@ -279,7 +300,19 @@ def render(root: Node) -> str:
             continue
         if tag == "img":
             continue
-        pre = pre or tag == "pre"
+        if tag in FOREIGN or (foreign == "svg" and tag == "foreignobject"):
+            foreign = tag if tag in FOREIGN else ""
+        kids = node.kids
+        if tag == "select" or (foreign == "svg" and tag == "text"):  # these stand apart from what is around them
+            out.space = True
+            todo.append(lambda o=out: setattr(o, "space", True))
+        if tag == "select":
+            kids = chosen(node)
+        elif tag == "textarea" and kids:
+            kids = [kids[0].removeprefix("\r").removeprefix("\n")]
+            out.block(False)
+            todo.append(lambda o=out: o.block(False))
+        pre = pre or tag in ("pre", "textarea")
         spaced = tag in SPACED and not (tag in ("ul", "ol", "menu") and lists)
         if tag in BLOCK and not (tag in ("td", "th", "tr") and tables):
             out.block(spaced)
@@ -320,7 +353,7 @@ def render(root: Node) -> str:
                 lists = held
 
             todo.append(leave_cell)
-        todo += [(k, pre, shown) for k in reversed(node.kids)]
+        todo += [(k, pre, shown, foreign) for k in reversed(kids)]
     return "\n".join(outs[0].done())
 
 

@@ -15,3 +15,15 @@ def test_only_the_attributes_themselves_hide():
 def test_visible_again_below_hidden():
     assert to_text('<div style="visibility:hidden">a<p>b</p><p style="visibility:visible">c <i>d</i></p></div>e') == "c d\n\ne"
     assert to_text('<table><tr style="visibility:collapse"><td>a<td>b<tr><td>c<td>d</table>') == "c | d"
+
+
+def test_text_of_formulas_drawings_and_forms():
+    assert to_text("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds") == "so x=1 holds"
+    assert to_text("<svg><title>t</title><desc>d</desc><defs><text>e</text></defs><style>s</style><text>one</text><text>two</text></svg> end") == "one two end"
+    assert to_text("<svg><title/><style/><text>one</text></svg> end") == "one end"
+    assert to_text("<svg><foreignObject><desc>kept</desc></foreignObject></svg>") == "kept"
+    assert to_text("a<textarea>\nb  c\n&lt;d</textarea>e") == "a\nb  c\n<d\ne"
+    assert to_text("<p>pick<select><option>one<option selected>two<option>three</select>now</p>") == "pick two now"
+    assert to_text("<select><option>one<option>two</select>") == "one"
+    assert to_text("<select multiple><optgroup><option>one<option>two</optgroup></select>") == "one\ntwo"
+    assert to_text('<p style="visibility:hidden">a<svg><text>b</text></svg></p>c') == "c"
