@@ -29,10 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, the one with the smallest id; documents without an id stay."""
-    classes = neardup.near_duplicates(spark, docs)
-    gone = classes.where("doc_id <> class_id or (doc_id is not null and class_id is null)").select(F.col("doc_id").alias("gone_")).distinct()
-    return _columns(docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti"))
+    """Keeps one row of each class, the one with the smallest id; no id comes before all, and texts without words stay."""
+    return neardup.first_of_classes(spark, _columns(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

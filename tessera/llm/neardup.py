@@ -168,7 +168,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64).T
 
 
-_SIG = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIG = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign_task(shared):
@@ -185,7 +185,7 @@ def _sign_task(shared):
                     starts = np.flatnonzero(np.diff(doc, prepend=-1))
                     bands[doc[starts]] = band_keys(sampler.sample(h, weights(h, counts, idf), starts))
                 lists = pa.ListArray.from_arrays(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32), bands.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), node, lists], schema=_SIG)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), node, lists], schema=_SIG)
 
     return run
 
@@ -324,14 +324,19 @@ def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFr
     return _links(tried, threshold).union(_links(more, threshold)).union(large)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
-    """``id_col``, ``class_id`` (smallest id of the class) and ``class_size``, one row for each row of ``docs``."""
-    src = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
+def _keyed(id_col: str, text_col: str) -> list:
+    """What tells rows apart: the id, and a hash of the text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("mark")]
+
+
+def _classed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, mark, root), one row for each row of ``docs``; root is null for texts without words."""
+    src = docs.select(F.col(text_col).alias("text"), *_keyed(id_col, text_col))
     mark = written()
     table, n = idf_table(src)
     shared = spark.sparkContext.broadcast(idf_values(table, n))  # DEPTH * WIDTH floats, whatever the input
     del table
-    signed = materialise(spark, src.mapInArrow(_sign_task(shared), "id long, node long, bands array<long>"), "signatures")
+    signed = materialise(spark, src.mapInArrow(_sign_task(shared), "id long, mark long, node long, bands array<long>"), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
     nodes = materialise(spark, nodes, "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
@@ -341,13 +346,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shared.destroy()  # signatures and sets are written
     roots = materialise(spark, connected(spark, _settle(spark, rows, nodes, sets, threshold)), "roots")
     drop_since(spark, mark, (signed, roots))
-    own = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    return signed.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
+    """``id_col``, ``class_id`` (smallest id of the class) and ``class_size``, one row for each row of ``docs``."""
+    own = _classed(spark, docs, id_col, text_col, threshold).select("id", "root")
     classes = own.where("root is not null").groupBy("root").agg(F.min("id").alias("class"), F.count("*").alias("size")).where("size > 1")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = own.join(classes, "root", "left").withColumn("class", F.coalesce("class", "id"))
     return out.select(back("id").alias(id_col), back("class").alias("class_id"), F.coalesce("size", F.lit(1)).cast("long").alias("class_size"))
 
 
+def first_of_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without those that have a near copy before them, by id and a hash of the text; texts without words all stay."""
+    own = _classed(spark, docs, id_col, text_col, threshold).where("root is not null")
+    first = own.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    own = own.join(first, "root").groupBy("id", "mark").agg(F.count("*").alias("times"), F.first(F.struct("id", "mark") == F.col("first")).alias("stays"))
+    own = materialise(spark, own.where("not stays or times > 1").select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "stays"), "copies")
+    id_, mark_ = _keyed(id_col, text_col)
+    same = lambda t: (id_ == t["id_"]) & (mark_ == t["mark_"])
+    alone = docs.join(own, same(own), "left_anti")
+    repeated = own.where("stays")
+    if not repeated.take(1):
+        return alone
+    again = docs.join(repeated, same(repeated)).groupBy("id_", "mark_").agg(F.min(F.struct(*docs.columns)).alias("row_"))
+    return alone.unionByName(again.select("row_.*"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each document."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
