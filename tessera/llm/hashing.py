@@ -1,20 +1,24 @@
 """NumPy kernels for words and word windows, straight on UTF-8 bytes.
 
 A word is a maximal run of bytes outside ``{0x20, 0x09..0x0D}``, which for valid
-UTF-8 is exactly the pattern ``[^\\x20\\x09-\\x0D]+``. All arithmetic is modulo 2**64.
-Byte-level work runs over pieces of about ``PIECE`` bytes, so memory is bounded by
-the piece (or by one word, if that is longer) and not by a text.
+UTF-8 is exactly the pattern ``[^\\x20\\x09-\\x0D]+``. Hashes take eight bytes, or two
+parts of a window, at a time through a bijective mixer: they are no polynomials, so no
+family of texts (periodic, alternating) cancels out in them. Whole texts are told apart
+by a cryptographic digest. Byte-level work runs over pieces of about ``PIECE`` bytes, so
+memory is bounded by the piece (or by one word, if that is longer) and not by a text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE = 1 << 20
+LONG = 128
 SLICE = 4 << 20
 MOST_TEXTS = 1 << 15
 _SPACE = np.zeros(256, dtype=bool)
@@ -33,30 +37,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=_U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, PIECE + 1)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, base, dtype=_U)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE = {0: _Powers(0x9E3779B97F4A7C15), 1: _Powers(0xC2B2AE3D27D4EB4F)}
-_WORD = {0: _Powers(0xD6E8FEB86659FD93), 1: _Powers(0xA0761D6478BD642F)}
+_SEEDS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+_TURN = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=_U)
+
+
+def word_hashes(piece: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the bytes ``start:stop`` of a piece, eight bytes a step; words over ``LONG`` bytes go one by one."""
+    padded = np.zeros(len(piece) + 8, dtype=np.uint8)
+    padded[: len(piece)] = piece
+    lanes = np.ndarray((len(piece) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = stop - start
+    h = mix(size.astype(_U) * _TURN[seed] + _SEEDS[seed])
+    h = mix(h ^ (lanes[start] & _MASK[np.minimum(size, 8)]))
+    rest = np.flatnonzero((size > 8) & (size <= LONG))
+    for at in range(8, LONG, 8):
+        rest = rest[size[rest] > at]
+        if not len(rest):
+            break
+        h[rest] = mix((h[rest] * _TURN[seed]) ^ (lanes[start[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]))
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(padded[start[i] : stop[i]].tobytes(), seed)
+    return h
+
+
+def _runs(words: np.ndarray, size: int, which: int) -> np.ndarray:
+    """Hashes of runs of ``size`` entries, from those of runs of half as many."""
+    if size == 1:
+        return words
+    left = 1 << (size - 1).bit_length() - 1  # the largest power of two below size
+    half = _runs(words, left, which)
+    n = len(words) - size + 1
+    right = half if size == 2 * left else _runs(words, size - left, which)
+    return mix((half[:n] * _TURN[which]) ^ right[left : left + n])
 
 
 def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
@@ -64,14 +77,16 @@ def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=_U)
-    out = np.empty(n, dtype=_U)
-    for at in range(0, n, PIECE):
-        m = min(PIECE, n - at)
-        up, down = _WORD[which].get(m + size)
-        sums = np.zeros(m + size, dtype=_U)
-        np.cumsum(words[at : at + m + size - 1] * up[: m + size - 1], out=sums[1:])
-        out[at : at + m] = (sums[size : size + m] - sums[:m]) * down[:m]
-    return mix(out)
+    out, step = np.empty(n, dtype=_U), 1 << 15
+    for at in range(0, n, step):
+        m = min(step, n - at)
+        out[at : at + m] = _runs(words[at : at + m + size - 1], size, which)
+    return out
+
+
+def digest(text: bytes) -> int:
+    """64 bits that tell texts apart, byte by byte."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
 class Words:
@@ -96,10 +111,7 @@ class Words:
             starts.append(s + at)
             stops.append(e + at)
             for seed in seeds:
-                up, down = _BYTE[seed].get(len(piece) + 1)
-                sums = np.zeros(len(piece) + 1, dtype=_U)
-                np.cumsum(_byte_values(seed)[piece] * up[: len(piece)], out=sums[1:])
-                hashes[seed].append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(_U)))
+                hashes[seed].append(word_hashes(piece, s, e, seed))
             at = to
         self.start = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
         self.stop = np.concatenate(stops) if stops else np.zeros(0, dtype=np.int64)
@@ -135,14 +147,12 @@ class Words:
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         return window_hashes(self._hashes[which], size, which)
 
-    def digests(self, which: int = 0) -> np.ndarray:
-        """A hash of the whole word sequence of each text."""
-        words = self._hashes[which]
-        up, down = _WORD[which].get(len(words) + 1)
-        sums = np.zeros(len(words) + 1, dtype=_U)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
-        a, b = self.first[:-1], self.first[1:]
-        return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(_U))
+    def digests(self) -> np.ndarray:
+        """Two 64-bit halves of a cryptographic digest of the word sequence of each text, as rows of texts."""
+        spans = zip(self.offsets, self.offsets[1:])
+        joined = (b" ".join(self.data[a:b].tobytes().split()) for a, b in spans)  # bytes.split() cuts at just those six bytes
+        raw = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in joined)
+        return np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
 
     def valid(self, size: int) -> np.ndarray:
         """The first words of all windows of ``size`` words that lie in one text."""

@@ -56,7 +56,7 @@ def shingles(words: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = np.diff(words.first)
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     if len(short):
-        doc, h = np.concatenate([doc, short]), np.concatenate([h, words.digests()[short]])
+        doc, h = np.concatenate([doc, short]), np.concatenate([h, words.digests()[short, 0]])
     keys = np.sort((doc.astype(_U) << _U(48)) | (h >> _U(16)))
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -179,7 +179,7 @@ def _sign_task(shared):
                 words = Words(data, offsets)
                 doc, h, counts = shingles(words, b - a)
                 filled = np.diff(words.first) > 0
-                node = pa.array(words.digests().view(np.int64), mask=~filled)
+                node = pa.array(words.digests()[:, 0].copy().view(np.int64), mask=~filled)
                 bands = np.zeros((b - a, BANDS), dtype=np.int64)
                 if len(h):
                     starts = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -198,7 +198,7 @@ def _set_task(shared):
             for a, b, data, offsets in text_slices(batch.column(0)):
                 words = Words(data, offsets)
                 doc, h, counts = shingles(words, b - a)
-                w, node = weights(h, counts, idf), words.digests().view(np.int64)
+                w, node = weights(h, counts, idf), words.digests()[:, 0].copy().view(np.int64)
                 lo, hi = np.searchsorted(doc, np.arange(b - a), "left"), np.searchsorted(doc, np.arange(b - a), "right")
                 own = [t for t in range(b - a) if node[t] == wanted[a + t] and hi[t] > lo[t]]
                 yield pa.RecordBatch.from_pydict({"node": node[own].tolist(), "h": [h[lo[t] : hi[t]].tobytes() for t in own], "w": [w[lo[t] : hi[t]].tobytes() for t in own]}, schema=pa.schema([("node", pa.int64()), ("h", pa.binary()), ("w", pa.binary())]))

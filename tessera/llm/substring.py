@@ -2,303 +2,203 @@
 
 A window is ``window`` consecutive words of one document. A word goes when some window
 that covers it has the same word sequence as a window that starts earlier (smaller id,
-or the same id and an earlier start). Three passes over the texts:
-
-1. A count-min sketch of all window hashes (two rows). Each task sends the sorted cells
-   that its windows hit; what arrives is merged by cell range, streaming, and only the
-   bit "hit at least twice" of each cell comes back. Cells never undercount, so a window
-   that occurs twice always passes: the filter loses none.
-2. Windows whose cells are all set are grouped exactly by a 96-bit fingerprint of their
-   words. A task sends only its first occurrence of a fingerprint (its later ones go in
-   any case), so a passage held by a third of all rows costs one row a task.
-3. The starts to cut meet their texts by document.
-
-The bits broadcast in pass 2 are bounded by ``sketch_bytes`` at any input size. Past
-that bound the filter lets more unrepeated windows through to the exact grouping, which
-is partitioned by fingerprint and grows in proportion to the input; results don't change.
-
-Defined cases: null or wordless text gives no words; a null id sorts first; rows that
-share an id count as one document (neither is earlier than the other at the same start).
+or the same id and text and an earlier start). Texts are dealt to parts; four steps in one
+plan, which shuffles the texts once:
+
+1. A count-min sketch of all window hashes: ``ROWS`` rows of ``LOAD`` cells a window, so it
+   grows with the input. Each part sends the cells that its windows hit; they are merged by
+   cell range, and a part gets back the merged counts of its own cells. Cells never
+   undercount, so a window that occurs twice always passes: the filter loses none. Of the
+   others about (1 - exp(-1 / LOAD)) ** ROWS pass, 1.4 %, at any size.
+2. Windows whose cells all count two or more are grouped exactly by a 96-bit fingerprint of
+   their words. A part sends only its first occurrence of a fingerprint (its later ones go in
+   any case), so a passage held by a third of all rows costs one window a part.
+3. The starts to cut go back to the parts.
+4. Each part cuts its texts.
+
+Defined cases: null or wordless text gives no words; a null id sorts first; rows that share
+an id are told apart by their texts, and the one with the smaller digest of its text is the
+earlier; rows that share id and text count as one document (none is earlier than another).
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .hashing import Words, mix, text_slices
-from .store import materialise
+from .hashing import Words, mix
+from .tally import NULL_ID, distinct, looked_up, opened, packed, part_count, shut, totals, unpacked
 
 WINDOW = 20
-SKETCH_BYTES = 64 << 20
-CHUNK = 1 << 22
-FLUSH = 2 << 20
-ROWS = 2
-NULL_ID = -(1 << 63)
+ROWS, LOAD = 2, 8
+_U = np.uint64
 
 
 def _cells(hashes: np.ndarray, width: int) -> np.ndarray:
     """One cell for each row of the sketch, as rows of an array."""
-    w = np.uint64(width)
-    return np.stack([hashes % w, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % w + w])
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted offsets inside a chunk, as compressed gaps of one byte; a byte of 255 says "255 further, no cell here"."""
-    gap = np.diff(values.astype(np.int64), prepend=0)
-    skips = gap // 255
-    out = np.full(len(gap) + int(skips.sum()), 255, dtype=np.uint8)
-    out[np.cumsum(skips + 1) - 1] = gap % 255
-    return zlib.compress(out.tobytes(), 1)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    gap = np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
-    return np.cumsum(gap, dtype=np.int64)[gap != 255]
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The values byte by byte, all lowest bytes first: bytes that are the same in all values then cost nothing once compressed."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _values(blobs: list[bytes], kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel() for b in blobs]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-
-
-def _sketch_task(window: int, width: int):
-    def run(batches):
-        held: list[np.ndarray] = []
-
-        def flush():
-            cells = np.concatenate(held)
-            held.clear()
-            cells.sort()
-            edges = np.searchsorted(cells, np.arange(0, ROWS * width + CHUNK, CHUNK, dtype=np.uint64))
-            for chunk in np.flatnonzero(np.diff(edges)):
-                low = (cells[edges[chunk] : edges[chunk + 1]] - np.uint64(chunk * CHUNK)).astype(np.int32)
-                new = np.flatnonzero(np.diff(low, prepend=-1))
-                hit = low[new]
-                many = hit[np.diff(np.append(new, len(low))) > 1]
-                yield pa.RecordBatch.from_pydict({"chunk": [int(chunk)], "hit": [_pack(hit)], "many": [_pack(many)]})
-
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
-                words = Words(data, offsets)
-                at = words.valid(window)
-                if len(at):
-                    held.append(_cells(words.windows(window)[at], width).ravel())
-                    if sum(map(len, held)) >= 2 * FLUSH:
-                        yield from flush()
-        if held:
-            yield from flush()
-
-    return run
+    w = _U(width)
+    return np.stack([mix(hashes + _U(j * 0x5851F42D4C957F2D & ((1 << 64) - 1))) % w + _U(j * width) for j in range(ROWS)])
 
 
-def _merge(batches):
-    """Streams the chunks that a task got; holds one byte for each cell of those."""
-    counts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, hit, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if chunk not in counts:
-                counts[chunk] = np.zeros(CHUNK, dtype=np.uint8)
-            c = counts[chunk]
-            for blob in (hit, many):
-                cells = _unpack(blob)
-                c[cells] = np.minimum(c[cells], 1) + 1
-    for chunk, c in counts.items():
-        yield pa.RecordBatch.from_pydict({"chunk": [chunk], "bits": [np.packbits(c > 1, bitorder="little").tobytes()]})
-
-
-def _rows(kind, key, ids, starts, h1=None, h2=None):
-    """One row for each value of ``key``."""
-    order = np.argsort(key, kind="stable")
-    key, ids, starts = key[order], ids[order], starts[order].astype(np.int32)
-    edges = np.flatnonzero(np.diff(key, prepend=-1))
-    ends = np.append(edges[1:], len(key))
-    cut = lambda x: [_planes(x[a:b]) for a, b in zip(edges, ends, strict=True)]
-    blank = [None] * len(edges)
-    return pa.RecordBatch.from_pydict(
-        {"kind": [kind] * len(edges), "key": key[edges].tolist(), "ids": cut(ids), "starts": cut(starts), "h1": blank if h1 is None else cut(h1[order]), "h2": blank if h2 is None else cut(h2[order])},
-        schema=_EXACT,
-    )
-
-
-_EXACT = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("ids", pa.binary()), ("starts", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary())])
-_EXACT_SQL = "kind int, key long, ids binary, starts binary, h1 binary, h2 binary"
-
-
-def _later(h1, h2, ids, starts):
-    """Sorts by fingerprint, then place. Gives the order, and for each place in it whether the same fingerprint stands earlier, at another place."""
-    order = np.lexsort((starts, ids, h2, h1))
-    a, b, i, s = h1[order], h2[order], ids[order], starts[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    return order, (i != i[head]) | (s != s[head]), new
-
-
-def _candidate_task(window: int, width: int, bits, buckets: int, parts: int):
-    def run(batches):
-        table = np.frombuffer(bits.value, dtype=np.uint8)
-        held: list[tuple] = []
-
-        def flush():
-            h1, h2, ids, starts = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order, later, new = _later(h1, h2, ids, starts)
-            keep, go = order[new], order[later]
-            if len(go):
-                yield _rows(1, _part(ids[go], parts), ids[go], starts[go])
-            yield _rows(0, (h1[keep] % np.uint64(buckets)).astype(np.int64), ids[keep], starts[keep], h1[keep], h2[keep])
-
-        for batch in batches:
-            own = batch.column(1).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in text_slices(batch.column(0)):
-                words = Words(data, offsets, (0, 1))
-                at = words.valid(window)
-                if not len(at):
-                    continue
-                h1 = words.windows(window)[at]
-                passed = np.ones(len(h1), dtype=bool)
-                for cells in _cells(h1, width):
-                    passed &= (table[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, h1 = at[passed], h1[passed]
-                if not len(at):
-                    continue
-                doc = np.searchsorted(words.first, at, "right") - 1
-                held.append((h1, (words.windows(window, 1)[at] >> np.uint64(32)).astype(np.uint32), own[a:b][doc], at - words.first[doc]))
-                if sum(len(x[0]) for x in held) >= FLUSH // 4:
-                    yield from flush()
-        if held:
-            yield from flush()
+def _sketch(window: int, width: int):
+    def make(texts):
+        _, _, data, offsets = texts
+        words = Words(data, offsets)
+        return distinct(_cells(words.windows(window)[words.valid(window)], width).ravel())
 
-    return run
+    return make
 
 
-def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _estimates(hashes: np.ndarray, width: int, merged: np.ndarray) -> np.ndarray:
+    """The count-min estimate of each hash, from the merged counts of the distinct cells."""
+    cells = _cells(hashes, width)
+    _, at = np.unique(cells.ravel(), return_inverse=True)
+    return merged[at].reshape(cells.shape).min(0)
 
 
-def _exact_task(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: _values(table[name].to_pylist(), kind)
-        ids, starts = read("ids", np.int64), read("starts", np.int32)
-        order, later, _ = _later(read("h1", np.uint64), read("h2", np.uint32), ids, starts)
-        go = order[later]
-        if not len(go):
-            return pa.Table.from_batches([], schema=_EXACT)
-        return pa.Table.from_batches([_rows(1, _part(ids[go], parts), ids[go], starts[go])])
+_FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("part", pa.int64()), ("ids", pa.binary()), ("marks", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary())])
+_FOUND_SQL = "kind int, key long, part long, ids binary, marks binary, rows binary, starts binary, h1 binary, h2 binary"
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, marks, starts
 
-    return run
 
+def _line(kind: int, key: int, part: int, places: Places, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> tuple:
+    """Windows as one line: each row is named once, and the windows point to it."""
+    ids, marks, starts = places
+    order = np.lexsort((starts, marks, ids))
+    ids, marks, starts = ids[order], marks[order], starts[order]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))
+    hashes = [shut(h[order]) if h is not None else None for h in (h1, h2)]
+    return (kind, key, part, shut(ids[new]), shut(marks[new]), shut((np.cumsum(new) - 1).astype(np.uint32)), shut(starts.astype(np.uint32)), *hashes)
 
-_PACKED = pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("more", pa.binary())])
 
+def _table(lines: list[tuple]) -> pa.Table:
+    return pa.table([list(c) for c in zip(*lines, strict=True)] if lines else [[]] * len(_FOUND), schema=_FOUND)
 
-def _ipc(batch: pa.RecordBatch) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema) as w:
-        w.write_batch(batch)
-    return out.getvalue().to_pybytes()
 
+def _places(lines: list[dict]) -> Places:
+    out = []
+    for r in lines:
+        of = opened([r["rows"]], np.uint32)
+        out.append((opened([r["ids"]], np.int64)[of], opened([r["marks"]], _U)[of], opened([r["starts"]], np.uint32).astype(np.int64)))
+    none = np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(none, *out, strict=True))
 
-def _pack_task(parts: int):
-    """Texts by part, compressed together: what the last shuffle moves."""
 
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            own = batch.column(1).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            more = batch.num_columns > 2
-            carried = batch.select(list(range(2, batch.num_columns)))
-            for a, b, data, offsets in text_slices(batch.column(0), 32 << 20):
-                key = _part(own[a:b], parts)
-                order = np.argsort(key, kind="stable")
-                edges = np.flatnonzero(np.diff(key[order], prepend=-1))
-                for x, y in zip(edges, np.append(edges[1:], len(key)), strict=True):
-                    of = order[x:y]
-                    texts = b"".join(bytes(data[offsets[t] : offsets[t + 1]]) for t in of)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(key[of[0]])]), pa.array([own[a:b][of].tobytes()]), pa.array([(offsets[of + 1] - offsets[of]).tobytes()]), pa.array([squeeze.compress(texts)]), pa.array([_ipc(carried.take(pa.array(of + a))) if more else None], pa.binary())], schema=_PACKED)
+def _later(h1: np.ndarray, h2: np.ndarray, places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by fingerprint, then place; for each place in it whether the same fingerprint stands earlier, at another place; and whether it is the first of its fingerprint."""
+    ids, marks, starts = places
+    order = np.lexsort((starts, marks, ids, h2, h1))
+    a, b, i, m, s = (x[order] for x in (h1, h2, ids, marks, starts))
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    return order, (i != i[head]) | (m != m[head]) | (s != s[head]), new
+
+
+def _candidate_task(window: int, width: int, buckets: int):
+    def run(table: pa.Table, merged: pa.Table) -> pa.Table:
+        if not merged.num_rows:
+            return _table([])
+        part = table["part"][0].as_py()
+        ids, marks, data, offsets = unpacked(table)
+        words = Words(data, offsets, (0, 1))
+        at = words.valid(window)
+        h1 = words.windows(window)[at]
+        passed = _estimates(h1, width, looked_up(merged)) > 1
+        at, h1 = at[passed], h1[passed]
+        h2 = (words.windows(window, 1)[at] >> _U(32)).astype(np.uint32)
+        doc = np.searchsorted(words.first, at, "right") - 1
+        places = ids[doc], marks[doc], at - words.first[doc]
+        order, later, new = _later(h1, h2, places)
+        some = lambda rows: tuple(x[rows] for x in places)
+        lines = [_line(1, -1, part, some(order[later]))] if later.any() else []
+        keep = order[new]
+        bucket = h1[keep] % _U(buckets)
+        for k in np.unique(bucket).tolist():
+            own = keep[bucket == k]
+            lines.append(_line(0, k, part, some(own), h1[own], h2[own]))
+        return _table(lines)
 
     return run
 
 
+def _exact_task(table: pa.Table) -> pa.Table:
+    lines = table.to_pylist()
+    places = _places(lines)
+    h1, h2 = opened([r["h1"] for r in lines], _U), opened([r["h2"] for r in lines], np.uint32)
+    part = np.repeat([r["part"] for r in lines], [len(opened([r["rows"]], np.uint32)) for r in lines])
+    order, later, _ = _later(h1, h2, places)
+    go = order[later]
+    return _table([_line(1, -1, p, tuple(x[own] for x in places)) for p in np.unique(part[go]).tolist() if len(own := go[part[go] == p])])
+
+
 def _cut_task(window: int, carry: pa.Schema, untouched: bool):
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), *carry])
 
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        ids, starts = _values(marks["ids"].to_pylist(), np.int64), _values(marks["starts"].to_pylist(), np.int32)
-        order = np.argsort(ids, kind="stable")
-        ids, starts = ids[order], starts[order]
-        expand, done = zstandard.ZstdDecompressor(), []
-        for own, sizes, texts, more in zip(docs["ids"].to_pylist(), docs["sizes"].to_pylist(), docs["texts"].to_pylist(), docs["more"].to_pylist(), strict=True):
-            own = np.frombuffer(own, dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, dtype=np.int64))])
-            data = np.frombuffer(expand.decompress(texts), dtype=np.uint8)
-            lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        to_cut: dict[tuple, list] = {}
+        ids, marks, starts = _places(found.select(["ids", "marks", "rows", "starts"]).to_pylist())
+        order = np.lexsort((marks, ids))
+        ids, marks, starts = ids[order], marks[order], starts[order]
+        edges = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))[: len(ids)]
+        edges = np.append(edges, len(ids))
+        for a, b in zip(edges, edges[1:]):
+            to_cut[int(ids[a]), int(marks[a])] = starts[a:b]
+        done = []
+        for k in range(docs.num_rows):
+            line = docs.slice(k, 1)
+            own, mark, data, offsets = unpacked(line)
             words = Words(data, offsets, ())
             n_words, n_removed, kept = np.diff(words.first), np.zeros(len(own), dtype=np.int64), []
             for t, n in enumerate(n_words):
-                if hi[t] == lo[t]:
-                    whole = bytes(data[offsets[t] : offsets[t + 1]])
+                s = to_cut.get((int(own[t]), int(mark[t])))
+                if s is None:
+                    whole = data[offsets[t] : offsets[t + 1]].tobytes()
                     kept.append((whole if untouched else b" ".join(whole.split())).decode())
                     continue
-                s = starts[lo[t] : hi[t]]
-                s = s[s + window <= n]
                 depth = np.zeros(n + 1, dtype=np.int32)
                 np.add.at(depth, s, 1)
                 np.add.at(depth, s + window, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 n_removed[t] = gone.sum()
                 f = words.first[t]
-                kept.append(b" ".join(bytes(data[words.start[f + k] : words.stop[f + k]]) for k in np.flatnonzero(~gone)).decode())
-            rest = pa.ipc.open_stream(more).read_all().columns if more else []
+                kept.append(b" ".join(data[words.start[f + i] : words.stop[f + i]].tobytes() for i in np.flatnonzero(~gone)).decode())
+            rest = pa.ipc.open_stream(line["more"][0].as_py()).read_all().columns if len(carry) else []
             done.append(pa.table([pa.array(own, mask=own == NULL_ID), n_words, n_removed, kept, *rest], schema=out))
         return pa.concat_tables(done) if done else out.empty_table()
 
     return run
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, sketch_bytes: int = SKETCH_BYTES, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+def cut_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, load: float = LOAD, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """``id_col``, ``n_words``, ``n_removed`` and ``kept`` (kept words joined by one space), one row for each row of ``docs``.
 
     ``carry`` names columns to carry along, as ``carry_<name>``. ``untouched``: a text that loses nothing keeps its own white space.
     """
-    src = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    windows = size // 6 + 1
-    width = int(min(max(2 * windows, 1 << 16), sketch_bytes * 8 // ROWS))
-    chunks = -(-width * ROWS // CHUNK)
-    sketch = src.select("text").mapInArrow(_sketch_task(window, width), "chunk long, hit binary, many binary").repartition(min(chunks, 4096), "chunk").mapInArrow(_merge, "chunk long, bits binary")
-    bits = bytearray(chunks * CHUNK // 8)
-    for row in sketch.collect():  # at most sketch_bytes in all
-        bits[row.chunk * CHUNK // 8 : (row.chunk + 1) * CHUNK // 8] = row.bits
-    shared = spark.sparkContext.broadcast(bytes(bits))
-    del bits
-    buckets, parts = max(16, windows // 1_000_000), max(16, size // (8 << 20))
-    found = materialise(spark, src.mapInArrow(_candidate_task(window, width, shared, buckets, parts), _EXACT_SQL), "candidates")
-    shared.destroy()  # what it was for is written; workers would keep it
-    exact = found.where("kind = 0").groupBy("key").applyInArrow(_exact_task(parts), _EXACT_SQL)
-    marks = found.where("kind = 1").unionByName(exact).select("key", "ids", "starts")
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    packed = rows.mapInArrow(_pack_task(parts), "key long, ids binary, sizes binary, texts binary, more binary")
+    parts, size = part_count(rows)
+    windows = size // 6 + 1
+    width = max(1 << 10, int(load * windows))
+    dealt = packed(rows, parts)
+    merged = totals(dealt, parts, _sketch(window, width), ROWS * width, most=2)
+    found = dealt.groupBy("part").cogroup(merged.groupBy("part")).applyInArrow(_candidate_task(window, width, max(16, windows // 1_000_000)), _FOUND_SQL)
+    # marks that a part found by itself pass through the exact step's exchange, each part's under a key of its own: so the candidates are made once
+    keyed = found.withColumn("key", F.when(F.col("kind") == 1, -1 - F.col("part")).otherwise(F.col("key")))
+    marks = keyed.groupBy("key").applyInArrow(_settle_task, _FOUND_SQL)
     fields = rows.schema.fields[2:]
     out = StructType([*StructType.fromDDL("id long, n_words long, n_removed long, kept string").fields, *fields])
-    cut = packed.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(_cut_task(window, to_arrow_schema(StructType(fields)), untouched), out)
+    cut = dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cut_task(window, to_arrow_schema(StructType(fields)), untouched), out)
     return cut.withColumnRenamed("id", id_col)
 
 
+def _settle_task(table: pa.Table) -> pa.Table:
+    """Marks pass; candidates are grouped exactly. A key holds either."""
+    return table if table["kind"][0].as_py() == 1 else _exact_task(table)
+
+
 def cut_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """The columns of ``docs`` with what is left of each text (and its length in ``chars_col``, if that is there), and ``n_removed`` and ``n_words_left``."""
     rest = tuple(c for c in docs.columns if c not in (id_col, text_col, chars_col))

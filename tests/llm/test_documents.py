@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, html_text, licences, mixing, neardup, quality, registry, substring, viterbi
+from tessera.llm import bpe, html_text, licences, mixing, neardup, quality, registry, substring, tally, viterbi
 from tests.compare import connect, differences
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,20 +26,21 @@ def odd(spark):
 
 
 def cut(rows, window=20):
-    """(words, removed, kept) by row, by the definition."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    """(words, removed, kept) by row, by the definition; rows that share an id are told apart by their texts."""
+    mark = lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little")
+    of = [((d is not None, d or 0), mark(text)) for d, text, *_ in rows]
     first = {}
-    for i in order:
+    for i in sorted(range(len(rows)), key=of.__getitem__):
         w = WORD.findall(rows[i][1] or "")
-        key = (rows[i][0] is not None, rows[i][0] or 0)
         for k in range(len(w) - window + 1):
-            first[tuple(w[k : k + window])] = min(first.get(tuple(w[k : k + window]), ((True, 1 << 62), 0)), (key, k))
+            key = tuple(w[k : k + window])
+            first[key] = min(first.get(key, (((True, 1 << 63), 0), 0)), (of[i], k))
     out = []
-    for d, text, *_ in rows:
+    for i, (d, text, *_) in enumerate(rows):
         w = WORD.findall(text or "")
         gone = [False] * len(w)
         for k in range(len(w) - window + 1):
-            if first[tuple(w[k : k + window])] != ((d is not None, d or 0), k):
+            if first[tuple(w[k : k + window])] != (of[i], k):
                 gone[k : k + window] = [True] * window
         out.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
     return sorted(out, key=repr)
@@ -48,8 +49,24 @@ def cut(rows, window=20):
 def test_substring(spark, small):
     for df in (odd(spark), spark.read.parquet(f"{small}/documents.parquet")):
         rows = [(r.doc_id, r.text) for r in df.collect()]
-        got = substring.cut_repeats(spark, df, sketch_bytes=1 << 14).collect()  # a sketch far too small lets more through and changes nothing
-        assert sorted((tuple(r) for r in got), key=repr) == cut(rows)
+        for load in (substring.LOAD, 1 / 64):  # a sketch far too small lets more through and changes nothing
+            got = substring.cut_repeats(spark, df, load=load).collect()
+            assert sorted((tuple(r) for r in got), key=repr) == cut(rows)
+
+
+def test_substring_of_rows_that_share_an_id(spark):
+    own = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, PHRASE), (5, PHRASE), (5, own("u")), (5, own("v") + " " + own("u")), (9, own("x")), (9, own("x")), *[(None, own(f"n{i % 50}_")) for i in range(2000)]]
+    got = substring.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == cut(rows)
+    kept = [(r.doc_id, r.n_removed) for r in got]
+    assert kept.count((5, 0)) >= 1 and kept.count((9, 0)) == 2 and len(kept) == len(rows)
+
+
+def test_rows_repeated_without_end_go_to_many_parts(spark):
+    df = spark.range(20_000).selectExpr("'same text' as text", "cast(null as long) as id")
+    sizes = [r.n for r in tally.packed(df, 64).selectExpr("part", "octet_length(ids) div 8 as n").groupBy("part").sum("n").toDF("part", "n").collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2000
 
 
 def test_substring_query(spark, small):

@@ -7,8 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import hashing
-from tessera.llm.substring import _pack, _planes, _unpack, _values
+from tessera.llm import hashing, substring, tally
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab é中\n\t 　\x1c", max_size=60)), max_size=12)
@@ -36,16 +35,11 @@ def test_words_and_windows(texts):
         hashing.PIECE = old
 
 
-@given(st.sets(st.integers(0, 1 << 22), max_size=300))
-def test_gap_coding(cells):
-    values = np.array(sorted(cells), dtype=np.int64)
-    assert _unpack(_pack(values)).tolist() == values.tolist()
-
-
 @given(st.lists(st.integers(-(1 << 63), (1 << 63) - 1), max_size=50))
 def test_byte_planes(values):
     x = np.array(values, dtype=np.int64)
-    assert _values([_planes(x[:7]), _planes(x[7:])], np.int64).tolist() == values
+    assert tally.values([tally.planes(x[:7]), tally.planes(x[7:])], np.int64).tolist() == values
+    assert tally.opened([tally.shut(x[:7]), tally.shut(x[7:])], np.int64).tolist() == values
 
 
 def test_a_word_longer_than_a_piece():
@@ -56,3 +50,39 @@ def test_a_word_longer_than_a_piece():
         assert (words.stop - words.start).tolist() == [1, 500, 1]
     finally:
         hashing.PIECE = old
+
+
+def alternating(n, a, b):
+    """Two runs of ``n`` letters that polynomials modulo a power of two can't tell apart."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return [a if x else b for x in ones], [b if x else a for x in ones]
+
+
+def hashed(text, seeds=(0, 1)):
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    return hashing.Words(data, np.array([0, len(data)]), seeds)
+
+
+def test_alternating_runs_are_told_apart():
+    one, two = ("".join(x) for x in alternating(1024, "a", "b"))
+    for n in (1024, 96, 64, 24):
+        for seed in (0, 1):
+            assert hashed(one[:n])._hashes[seed] != hashed(two[:n])._hashes[seed]
+    x, y = (hashed(" ".join(w)) for w in alternating(1024, "yes", "no"))
+    for size in (16, 32, 1024):
+        assert x.windows(size)[0] != y.windows(size)[0]
+    assert (x.digests() != y.digests()).any()
+    assert (hashed("a b").digests() == hashed(" a \n b").digests()).all()
+
+
+def test_the_share_of_single_windows_that_pass_does_not_grow_with_the_input():
+    rng = np.random.default_rng(2)
+    for windows in (50_000, 500_000):
+        hashes = rng.integers(0, 1 << 63, windows).astype(np.uint64)
+        width = substring.LOAD * windows
+        cells, counts = tally.distinct(substring._cells(hashes, width).ravel())
+        passed = (substring._estimates(hashes, width, counts) > 1).mean()
+        assert passed < 0.03
+        twice = np.append(hashes, hashes[:1000])
+        cells, counts = tally.distinct(substring._cells(twice, width).ravel())
+        assert (substring._estimates(twice, width, counts)[:1000] > 1).all()
