@@ -9,12 +9,13 @@ rules and drops most; those that are left are compiled back into one Spark colum
 Defined cases: a null text counts as empty, and an empty one is scored like any other; of
 repeated labels of one document the mean counts (1 from 0.5 on); null labels and null ids
 teach nothing; without labels of both kinds all scores are the share of label 1 (0.5 with
-no labels at all). Statistics carry names of their own, whatever columns the input has.
+no labels at all). Columns ``score`` and ``predicted`` of the input are replaced; no other name can clash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,16 +39,22 @@ COUNTS = {
 NAMES = ("log_chars", "log_words", "word_length", "upper", "digits", "symbols", "bars", "marks", "stops", "lines", "stutter")
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``stat_`` of the statistics ``NAMES``, all double and never null."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    raw = docs.withColumn("raw_", F.struct(F.length(text).cast("double").alias("chars"), *(F.regexp_count(text, F.lit(p)).cast("double").alias(n) for n, p in COUNTS.items())))
-    r = lambda n: F.col(f"raw_.{n}")
-    chars, words = F.greatest(r("chars"), F.lit(1.0)), F.greatest(r("words"), F.lit(1.0))
-    per_char, per_word = ("upper", "digits", "symbols", "bars", "marks", "stops"), ("lines", "stutter")
-    made = [F.log1p(r("chars")).alias("log_chars"), F.log1p(r("words")).alias("log_words"), (r("chars") / words).alias("word_length")]
-    made += [(r(n) / chars).alias(n) for n in per_char] + [(r(n) / words).alias(n) for n in per_word]
-    return raw.withColumn("stat_", F.struct(*made)).drop("raw_")
+def statistics(text: Column) -> Column:
+    """A struct of the statistics ``NAMES`` of a text, all double and never null.
+
+    What is counted is bound to a lambda's variable and used from there. As plain columns the
+    counts would be put into every place that uses them, and matched again in each rule.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    counted = F.struct(F.length(text).cast("double").alias("chars"), *(F.regexp_count(text, F.lit(p)).cast("double").alias(n) for n, p in COUNTS.items()))
+
+    def made(r: Column) -> Column:
+        chars, words = F.greatest(r["chars"], F.lit(1.0)), F.greatest(r["words"], F.lit(1.0))
+        per_char, per_word = ("upper", "digits", "symbols", "bars", "marks", "stops"), ("lines", "stutter")
+        shares = [(r[n] / chars).alias(n) for n in per_char] + [(r[n] / words).alias(n) for n in per_word]
+        return F.struct(F.log1p(r["chars"]).alias("log_chars"), F.log1p(r["words"]).alias("log_words"), (r["chars"] / words).alias("word_length"), *shares)
+
+    return F.element_at(F.transform(F.array(counted), made), 1)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), all of which hold
@@ -82,21 +89,33 @@ def _holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([(x[:, f] > t) == above for f, above, t in rule])
 
 
+def _largest_eigenvalue(a: np.ndarray) -> float:
+    """Of the Gram matrix of ``a`` and a column of ones, from above, by power steps: no second copy of ``a``."""
+    v, top = np.ones(a.shape[1] + 1, dtype=np.float32), 1.0
+    for _ in range(30):
+        u = a @ v[1:] + v[0]
+        v = np.concatenate([[u.sum()], u @ a]).astype(np.float32)
+        top = float(np.linalg.norm(v))
+        v /= np.float32(top)
+    return 1.05 * top
+
+
 @dataclass(frozen=True)
 class RuleModel:
     bias: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def column(self) -> Column:
-        """P(label 1) from the struct ``stat_``."""
-        margin = F.lit(self.bias)
-        for rule, weight in self.rules:
-            tests = [(F.col(f"stat_.{NAMES[f]}") > t) if above else (F.col(f"stat_.{NAMES[f]}") <= t) for f, above, t in rule]
-            both = tests[0]
-            for t in tests[1:]:
-                both = both & t
-            margin = margin + F.when(both, F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    def column(self, stat: Column) -> Column:
+        """P(label 1) from a struct of the statistics."""
+
+        def margin(s: Column) -> Column:
+            total = F.lit(self.bias)
+            for rule, weight in self.rules:
+                tests = [(s[NAMES[f]] > t) if above else (s[NAMES[f]] <= t) for f, above, t in rule]
+                total = total + F.when(reduce(Column.__and__, tests), F.lit(weight)).otherwise(F.lit(0.0))
+            return total
+
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.element_at(F.transform(F.array(stat), margin), 1)))
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
@@ -117,17 +136,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
     if not rules:
         p = y.mean()
         return RuleModel(float(np.log(p / (1 - p))), ())
-    a = np.stack([h for _, h in rules], axis=1).astype(np.float64)
-    step = 4 * len(y) / (np.linalg.norm(np.column_stack([np.ones(len(y)), a]), 2) ** 2)
-    w, b = np.zeros(a.shape[1]), float(np.log(y.mean() / (1 - y.mean())))
+    a = np.empty((len(y), len(rules)), dtype=np.float32)
+    for k, (_, held) in enumerate(rules):
+        a[:, k] = held
+    step = 4 * len(y) / _largest_eigenvalue(a)
+    w, b = np.zeros(a.shape[1], dtype=np.float32), float(np.log(y.mean() / (1 - y.mean())))
     zw, zb, t = w.copy(), b, 1.0
     for _ in range(STEPS):
-        r = 1 / (1 + np.exp(-(a @ zw + zb))) - y
-        nw = zw - step * (a.T @ r) / len(y)
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * PENALTY, 0)
+        r = 1 / (1 + np.exp(-((a @ zw).astype(np.float64) + zb))) - y
+        nw = zw - step * (r.astype(np.float32) @ a) / len(y)
+        nw = (np.sign(nw) * np.maximum(np.abs(nw) - step * PENALTY, 0)).astype(np.float32)
         nb = zb - step * r.mean()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        zw, zb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        zw, zb = (nw + (t - 1) / nt * (nw - w)).astype(np.float32), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
     return RuleModel(float(b), tuple((rule, float(v)) for (rule, _), v in zip(rules, w, strict=True) if v))
 
@@ -139,14 +160,15 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
     marks = marks.groupBy(F.col(id_col).alias("id_")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y_"))
     marks = marks.orderBy(F.xxhash64("id_"), "id_").limit(most_rows)
     texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(marks), "id_")  # at most most_rows pairs of numbers
-    rows = statistics(texts, "text_").select("id_", "y_", *(F.col(f"stat_.{n}").alias(n) for n in NAMES)).toPandas()
-    rows = rows.sort_values(["id_", *NAMES], kind="stable").head(most_rows)  # rows of one id may repeat
-    return fit_rules(rows[list(NAMES)].to_numpy(np.float64), rows["y_"].to_numpy(np.float64))
+    rows = texts.select("id_", "y_", statistics(F.col("text_")).alias("stat_")).collect()
+    rows = sorted((r.id_, r.y_, tuple(r.stat_)) for r in rows)[:most_rows]  # rows of one id may repeat
+    x = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), len(NAMES))
+    return fit_rules(x, np.array([r[1] for r in rows], dtype=np.float64))
 
 
 def scored(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``."""
-    out = statistics(docs, text_col).withColumn("score", model.column()).drop("stat_")
+    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
+    out = docs.withColumn("score", model.column(statistics(F.col(text_col))))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
