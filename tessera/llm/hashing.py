@@ -147,9 +147,10 @@ class Words:
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         return window_hashes(self._hashes[which], size, which)
 
-    def digests(self) -> np.ndarray:
-        """Two 64-bit halves of a cryptographic digest of the word sequence of each text, as rows of texts."""
-        spans = zip(self.offsets, self.offsets[1:])
+    def digests(self, texts: np.ndarray | None = None) -> np.ndarray:
+        """Two 64-bit halves of a cryptographic digest of the word sequence of each text (or some), as rows of texts."""
+        of = self.offsets[:-1], self.offsets[1:]
+        spans = zip(*(of if texts is None else (x[texts] for x in of)), strict=True)
         joined = (b" ".join(self.data[a:b].tobytes().split()) for a, b in spans)  # bytes.split() cuts at just those six bytes
         raw = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in joined)
         return np.frombuffer(raw, dtype="<u8").reshape(-1, 2)

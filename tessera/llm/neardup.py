@@ -2,15 +2,17 @@
 
 A shingle is five consecutive words (the whole text, if it has one to four words); its
 weight in a text is tf * idf, with tf its count there and idf = 1 + ln((1 + N) / (1 + df))
-/ ln(1 + N), between 1 and 2: rare shingles count up to twice as much as common ones. df
-comes from a count-min sketch of fixed size over all documents. Texts whose weighted
-Jaccard similarity (sum of minima over sum of maxima) is ``THRESHOLD`` or more are linked;
-classes are the connected components.
-
-1. One pass sketches document frequencies, a second draws ``BANDS * ROWS`` samples a text
-   by improved consistent weighted sampling: two texts agree in a sample with the
-   probability of their similarity. At 0.8 twelve bands of four miss 1 pair in 550.
-2. Texts with the same word sequence are one node (a 64-bit hash of all words).
+/ ln(1 + N), between 1 and 2: rare shingles count up to twice as much as common ones. df is
+the exact number of texts with the shingle (by 48-bit hash), N that of texts with words.
+Texts whose weighted Jaccard similarity (sum of minima over sum of maxima) is ``THRESHOLD``
+or more are linked; classes are the connected components.
+
+1. Texts are dealt to parts; each part gets the corpus-wide df of its own shingles and draws
+   ``BANDS * ROWS`` samples a text by improved consistent weighted sampling: two texts agree
+   in a sample with the probability of their similarity. At 0.8 twelve bands of four miss 1
+   pair in 550.
+2. Texts with the same word sequence are one node: 64 bits of a cryptographic digest. 64 further
+   bits are compared within each node, and a node whose texts differ in them is split.
 3. In each bucket all members are compared with one leader: n - 1 pairs, not n squared. Where
    that leaves several components, all pairs across them are settled, the leader's among them,
    but for those that the members' own distances from the leader rule out (1 - similarity is
@@ -22,33 +24,34 @@ classes are the connected components.
 
 Defined cases: texts without words (null, empty, blank) are singletons; the class id is
 the smallest ``doc_id`` of the class, with null ids ordered first and given back as null;
-rows with the same id are classed by their own texts.
+rows with the same id are classed by their own texts, whatever their number.
 """
 
 from __future__ import annotations
 
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .hashing import Words, mix, text_slices
+from .hashing import MOST_TEXTS, PIECE, Words, mix
 from .store import drop_since, materialise, written
+from .tally import NULL_ID, distinct, looked_up, opened, packed, part_count, shut, totals, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-WIDTH, DEPTH, CHUNK = 1 << 21, 2, 1 << 18
+TEXTS = 1 << 48  # beyond all shingles: the value under which texts with words are counted
 SMALL, GROUP, BLOCK = 16, 256, 128
-NULL_ID = -(1 << 63)
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
 
 
-def shingles(words: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, count), by text and shingle; shingles are 48-bit hashes."""
     at = words.valid(SHINGLE)
     doc = np.searchsorted(words.first, at, "right") - 1
@@ -56,7 +59,7 @@ def shingles(words: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = np.diff(words.first)
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     if len(short):
-        doc, h = np.concatenate([doc, short]), np.concatenate([h, words.digests()[short, 0]])
+        doc, h = np.concatenate([doc, short]), np.concatenate([h, words.digests(short)[:, 0]])
     keys = np.sort((doc.astype(_U) << _U(48)) | (h >> _U(16)))
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -65,64 +68,28 @@ def shingles(words: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return (keys >> _U(48)).astype(np.int64), keys & _LOW48, counts
 
 
-def _df_cells(h: np.ndarray) -> list[np.ndarray]:
-    return [(mix(h + _U(0x9E3779B97F4A7C15 * (j + 1) & ((1 << 64) - 1))) % _U(WIDTH)).astype(np.int64) for j in range(DEPTH)]
-
-
-def _df_task(batches):
-    counts, n = np.zeros((DEPTH, WIDTH), dtype=np.int64), 0
-    for batch in batches:
-        for a, b, data, offsets in text_slices(batch.column(0)):
-            words = Words(data, offsets)
-            n += int((np.diff(words.first) > 0).sum())
-            _, h, _ = shingles(words, b - a)
-            for j, cells in enumerate(_df_cells(h)):
-                counts[j] += np.bincount(cells, minlength=WIDTH)
-    if n:
-        flat = counts.ravel()
-        for k in range(0, len(flat), CHUNK):
-            part = flat[k : k + CHUNK]
-            kind = np.min_scalar_type(int(part.max()))
-            yield pa.RecordBatch.from_pydict({"chunk": [k // CHUNK], "kind": [kind.str], "counts": [zlib.compress(part.astype(kind).tobytes(), 1)]})
-        yield pa.RecordBatch.from_pydict({"chunk": [-1], "kind": ["<i8"], "counts": [zlib.compress(np.array([n]).tobytes(), 1)]})
-
-
-def _df_merge(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(zlib.decompress(blob), dtype=kind).astype(np.int64)
-            sums[chunk] = sums[chunk] + x if chunk in sums else x
-    for chunk, x in sums.items():
-        yield pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": ["<i8"], "counts": [zlib.compress(x.tobytes(), 1)]})
-
-
-def idf_table(src: DataFrame) -> tuple[np.ndarray, int]:
-    """Document frequencies by cell, and the number of texts with words. Of fixed size: DEPTH * WIDTH cells."""
-    kinds = "chunk long, kind string, counts binary"
-    rows = src.select("text").mapInArrow(_df_task, kinds).repartition(DEPTH * WIDTH // CHUNK, "chunk").mapInArrow(_df_merge, kinds).collect()
-    table, n = np.zeros(DEPTH * WIDTH, dtype=np.int64), 0
-    for r in rows:
-        x = np.frombuffer(zlib.decompress(r.counts), dtype=r.kind)
-        if r.chunk < 0:
-            n = int(x[0])
-        else:
-            table[r.chunk * CHUNK : r.chunk * CHUNK + len(x)] = x
-    del rows
-    return table.reshape(DEPTH, WIDTH), n
-
-
-def idf_values(table: np.ndarray, n: int) -> np.ndarray:
-    """idf by cell; the larger count of two cells is the worse estimate, so the larger idf holds."""
-    return (1 + np.log((1 + n) / (1 + np.minimum(table, n))) / np.log(1 + n)).astype(np.float32) if n else np.ones(table.shape, np.float32)
-
-
-def weights(h: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    cells = _df_cells(h)
-    best = idf[0][cells[0]]
-    for j in range(1, DEPTH):
-        best = np.maximum(best, idf[j][cells[j]])
-    return (counts * best).astype(np.float32)
+def _slices(data: np.ndarray, offsets: np.ndarray):
+    """(from, to, words) of runs of whole texts: few enough for ``shingles``, and of about ``PIECE`` bytes."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = min(a + MOST_TEXTS, max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1))
+        yield a, b, Words(data, offsets[a : b + 1])
+        a = b
+
+
+def _frequencies(texts: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a part and in how many of its texts each is; its number of texts with words comes last."""
+    _, _, data, offsets = texts
+    found, n = [np.zeros(0, dtype=_U)], 0
+    for _, _, words in _slices(data, offsets):
+        found.append(shingles(words)[1])
+        n += int((np.diff(words.first) > 0).sum())
+    own, counts = distinct(np.concatenate(found))
+    return (np.append(own, _U(TEXTS)), np.append(counts, n)) if n else (own, counts)
+
+
+def weights(counts: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    return (counts * (1 + np.log((1 + n) / (1 + df)) / np.log(1 + n))).astype(np.float32)
 
 
 class Sampler:
@@ -159,6 +126,9 @@ class Sampler:
         return out
 
 
+_sampler = lru_cache(maxsize=1)(Sampler)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One key (int64) for each band and text, as rows of texts."""
     s = samples.astype(_U).reshape(BANDS, ROWS, -1)
@@ -168,42 +138,52 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64).T
 
 
-_SIG = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-
-def _sign_task(shared):
-    def run(batches):
-        idf, sampler = shared.value, Sampler()
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(0)):
-                words = Words(data, offsets)
-                doc, h, counts = shingles(words, b - a)
-                filled = np.diff(words.first) > 0
-                node = pa.array(words.digests()[:, 0].copy().view(np.int64), mask=~filled)
-                bands = np.zeros((b - a, BANDS), dtype=np.int64)
-                if len(h):
-                    starts = np.flatnonzero(np.diff(doc, prepend=-1))
-                    bands[doc[starts]] = band_keys(sampler.sample(h, weights(h, counts, idf), starts))
-                lists = pa.ListArray.from_arrays(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32), bands.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), node, lists], schema=_SIG)
-
-    return run
-
-
-def _set_task(shared):
-    def run(batches):
-        idf = shared.value
-        for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in text_slices(batch.column(0)):
-                words = Words(data, offsets)
-                doc, h, counts = shingles(words, b - a)
-                w, node = weights(h, counts, idf), words.digests()[:, 0].copy().view(np.int64)
-                lo, hi = np.searchsorted(doc, np.arange(b - a), "left"), np.searchsorted(doc, np.arange(b - a), "right")
-                own = [t for t in range(b - a) if node[t] == wanted[a + t] and hi[t] > lo[t]]
-                yield pa.RecordBatch.from_pydict({"node": node[own].tolist(), "h": [h[lo[t] : hi[t]].tobytes() for t in own], "w": [w[lo[t] : hi[t]].tobytes() for t in own]}, schema=pa.schema([("node", pa.int64()), ("h", pa.binary()), ("w", pa.binary())]))
-
-    return run
+_SIG = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int64()), ("dfs", pa.binary())])
+_SIG_SQL = "part long, id long, row long, mark long, node long, check long, bands array<long>, n long, dfs binary"
+
+
+def _sign_task(table: pa.Table, merged: pa.Table) -> pa.Table:
+    """Node, bands and document frequencies (by shingle, in ascending order) of each text."""
+    if not table.num_rows:
+        return _SIG.empty_table()
+    ids, rows, data, offsets = unpacked(table)
+    mark = np.concatenate([pa.ipc.open_stream(m).read_all().column(0).to_numpy() for m in table["more"].to_pylist()])
+    part, sampler, squeeze, found, out = table["part"][0].as_py(), _sampler(), zstandard.ZstdCompressor(level=1), looked_up(merged), []
+    n = int(found[-1]) if len(found) else 0
+    own = distinct(np.concatenate([shingles(words)[1] for *_, words in _slices(data, offsets)]))[0]
+    for a, b, words in _slices(data, offsets):  # again: cheaper than to keep them all
+        doc, h, counts = shingles(words)
+        filled, size = np.diff(words.first) > 0, b - a
+        node, check = words.digests().view(np.int64).T
+        bands, dfs = np.zeros((size, BANDS), dtype=np.int64), [None] * size
+        if len(h):
+            df = found[np.searchsorted(own, h)]
+            few = df.astype(np.uint32)
+            starts = np.flatnonzero(np.diff(doc, prepend=-1))
+            bands[doc[starts]] = band_keys(sampler.sample(h, weights(counts, df, n), starts))
+            for t, x, y in zip(doc[starts], starts, np.append(starts[1:], len(h)), strict=True):
+                dfs[t] = shut(few[x:y], squeeze)
+        lists = pa.ListArray.from_arrays(np.arange(0, size * BANDS + 1, BANDS, dtype=np.int32), bands.ravel())
+        columns = [np.full(size, part), ids[a:b], rows[a:b].view(np.int64), mark[a:b], pa.array(node, mask=~filled), check, lists, np.full(size, n), pa.array(dfs, pa.binary())]
+        out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_SIG))
+    return pa.concat_tables(out)
+
+
+_SET = pa.schema([("node", pa.int64()), ("h", pa.binary()), ("w", pa.binary())])
+
+
+def _set_task(table: pa.Table, needed: pa.Table) -> pa.Table:
+    """Shingles and weights of the rows that ``needed`` names."""
+    ids, rows, data, offsets = unpacked(table)
+    want = {(r["id"], r["row"]): r for r in needed.to_pylist()}
+    at = [(t, r) for t, key in enumerate(zip(ids.tolist(), rows.view(np.int64).tolist(), strict=True)) if (r := want.pop(key, None))]
+    out = {"node": [], "h": [], "w": []}
+    for t, r in at:
+        _, h, counts = shingles(Words(data, offsets[t : t + 2]))
+        out["node"].append(r["node"])
+        out["h"].append(h.tobytes())
+        out["w"].append(weights(counts, opened([r["dfs"]], np.uint32), r["n"]).tobytes())
+    return pa.table(out, schema=_SET)
 
 
 def weighted_jaccard(h1, w1, h2, w2) -> float:
@@ -329,21 +309,38 @@ def _keyed(id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("mark")]
 
 
+def _nodes(signed: DataFrame) -> DataFrame:
+    """One row a node: where one of its texts is, and whether all agree in the further bits."""
+    top = F.min(F.struct("check", "part", "row", "id", "bands", "n", "dfs")).alias("top")
+    return signed.where("node is not null").groupBy("node").agg(top, F.max("check").alias("last")).select("node", "top.*", "last")
+
+
+def _split(spark: SparkSession, signed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits nodes whose texts differ; there are none but by chance, so most runs only look."""
+    mixed = nodes.where("check <> last").select("node", F.col("check").alias("first"))
+    if not mixed.take(1):
+        return signed, nodes
+    other = F.when(F.col("check") != F.col("first"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    signed = materialise(spark, signed.join(mixed, "node", "left").withColumn("node", other).drop("first"), "signatures")
+    return signed, materialise(spark, _nodes(signed), "nodes")
+
+
 def _classed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(id, mark, root), one row for each row of ``docs``; root is null for texts without words."""
-    src = docs.select(F.col(text_col).alias("text"), *_keyed(id_col, text_col))
+    id_, mark_ = _keyed(id_col, text_col)
+    src = docs.select(F.col(text_col).alias("text"), id_, mark_)
     mark = written()
-    table, n = idf_table(src)
-    shared = spark.sparkContext.broadcast(idf_values(table, n))  # DEPTH * WIDTH floats, whatever the input
-    del table
-    signed = materialise(spark, src.mapInArrow(_sign_task(shared), "id long, mark long, node long, bands array<long>"), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
-    nodes = materialise(spark, nodes, "nodes")
+    parts, _ = part_count(src)
+    dealt = packed(src, parts)
+    merged = totals(dealt, parts, _frequencies, TEXTS + 1)
+    signed = materialise(spark, dealt.groupBy("part").cogroup(merged.groupBy("part")).applyInArrow(_sign_task, _SIG_SQL), "signatures")
+    nodes = materialise(spark, _nodes(signed), "nodes")
+    signed, nodes = _split(spark, signed, nodes)
     rows = nodes.select("node", F.explode("bands").alias("key"))
     rows = materialise(spark, _crowded(rows), "buckets")
-    needed = rows.select("node").distinct().join(nodes, "node").select("id", "node")
-    sets = materialise(spark, src.join(needed, "id").select("text", "node").mapInArrow(_set_task(shared), "node long, h binary, w binary"), "sets")
-    shared.destroy()  # signatures and sets are written
+    needed = rows.select("node").distinct().join(nodes, "node").select("part", "id", "row", "node", "n", "dfs")
+    sets = dealt.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(_set_task, "node long, h binary, w binary")
+    sets = materialise(spark, sets, "sets")
     roots = materialise(spark, connected(spark, _settle(spark, rows, nodes, sets, threshold)), "roots")
     drop_since(spark, mark, (signed, roots))
     return signed.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))

@@ -38,26 +38,38 @@ ROWS, LOAD = 2, 8
 _U = np.uint64
 
 
-def _cells(hashes: np.ndarray, width: int) -> np.ndarray:
-    """One cell for each row of the sketch, as rows of an array."""
-    w = _U(width)
-    return np.stack([mix(hashes + _U(j * 0x5851F42D4C957F2D & ((1 << 64) - 1))) % w + _U(j * width) for j in range(ROWS)])
+def _cells(hashes: np.ndarray, width: int, row: int) -> np.ndarray:
+    """The cells of the hashes in a row of the sketch; rows lie one after the other."""
+    cells = mix(hashes + _U(row * 0x5851F42D4C957F2D & ((1 << 64) - 1)))
+    cells %= _U(width)
+    cells += _U(row * width)
+    return cells
 
 
 def _sketch(window: int, width: int):
     def make(texts):
         _, _, data, offsets = texts
         words = Words(data, offsets)
-        return distinct(_cells(words.windows(window)[words.valid(window)], width).ravel())
+        hashes = words.windows(window)[words.valid(window)]
+        del words
+        return tuple(np.concatenate(x) for x in zip(*(distinct(_cells(hashes, width, j)) for j in range(ROWS)), strict=True))
 
     return make
 
 
-def _estimates(hashes: np.ndarray, width: int, merged: np.ndarray) -> np.ndarray:
-    """The count-min estimate of each hash, from the merged counts of the distinct cells."""
-    cells = _cells(hashes, width)
-    _, at = np.unique(cells.ravel(), return_inverse=True)
-    return merged[at].reshape(cells.shape).min(0)
+def _repeated(hashes: np.ndarray, width: int, merged: np.ndarray) -> np.ndarray:
+    """Whether the count-min estimate of each hash is over one, from the merged counts of the distinct cells, row by row."""
+    passed, many, base = np.ones(len(hashes), dtype=bool), merged > 1, 0
+    for j in range(ROWS):
+        cells = _cells(hashes, width, j)
+        order = np.argsort(cells)
+        cells = cells[order]
+        new = np.append(True, cells[1:] != cells[:-1])[: len(cells)]
+        del cells
+        edges = np.flatnonzero(new)
+        passed[order] &= np.repeat(many[base : base + len(edges)], np.diff(np.append(edges, len(order))))
+        base += len(edges)
+    return passed
 
 
 _FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("part", pa.int64()), ("ids", pa.binary()), ("marks", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary())])
@@ -104,14 +116,18 @@ def _candidate_task(window: int, width: int, buckets: int):
             return _table([])
         part = table["part"][0].as_py()
         ids, marks, data, offsets = unpacked(table)
-        words = Words(data, offsets, (0, 1))
+        words = Words(data, offsets)
         at = words.valid(window)
         h1 = words.windows(window)[at]
-        passed = _estimates(h1, width, looked_up(merged)) > 1
+        passed = _repeated(h1, width, looked_up(merged))
         at, h1 = at[passed], h1[passed]
+        del words, passed
+        words = Words(data, offsets, (1,))
         h2 = (words.windows(window, 1)[at] >> _U(32)).astype(np.uint32)
-        doc = np.searchsorted(words.first, at, "right") - 1
-        places = ids[doc], marks[doc], at - words.first[doc]
+        first = words.first
+        doc = np.searchsorted(first, at, "right") - 1
+        del words
+        places = ids[doc], marks[doc], at - first[doc]
         order, later, new = _later(h1, h2, places)
         some = lambda rows: tuple(x[rows] for x in places)
         lines = [_line(1, -1, part, some(order[later]))] if later.any() else []

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .hashing import digest, mix, text_slices
 
-PART, SPREAD, SAME = 8 << 20, 6.4, 64
+PART, SPREAD, SAME = 4 << 20, 6.4, 64
 NULL_ID = -(1 << 63)
 _U = np.uint64
 
@@ -44,8 +44,8 @@ def values(blobs: list[bytes], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-def shut(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(planes(x))
+def shut(x: np.ndarray, squeeze: zstandard.ZstdCompressor | None = None) -> bytes:
+    return (squeeze or zstandard.ZstdCompressor(level=1)).compress(planes(x))
 
 
 def opened(blobs: list[bytes], kind) -> np.ndarray:
@@ -164,7 +164,7 @@ def _merge_task(most: int, kind: str):
     return run
 
 
-def totals(dealt: DataFrame, parts: int, make: Callable, space: int, most: int = (1 << 32) - 1) -> DataFrame:
+def totals(dealt: DataFrame, parts: int, make: Callable, space: int, most: int = (1 << 32) - 2) -> DataFrame:
     """(part, range, totals): corpus-wide counts, up to ``most``, of the values that each part of ``dealt`` holds.
 
     ``make`` gives a part's sorted distinct values below ``space``, and their counts. ``looked_up`` reads a part's totals.
@@ -175,4 +175,6 @@ def totals(dealt: DataFrame, parts: int, make: Callable, space: int, most: int =
 
 def looked_up(table: pa.Table) -> np.ndarray:
     """The totals of a part's sorted distinct values, in their order."""
-    return opened(table.sort_by("range")["totals"].to_pylist(), np.uint32).astype(np.int64) + 1
+    found = opened(table.sort_by("range")["totals"].to_pylist(), np.uint32)
+    found += np.uint32(1)
+    return found
