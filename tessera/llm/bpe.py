@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP, TAIL = 1 << 15, 1 << 10, 64
-REMEMBER = 400_000
+REMEMBER, SHORT = 150_000, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,27 +36,51 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Ids of a pre-token as little-endian uint32 bytes, remembered for up to ``REMEMBER`` pre-tokens."""
+    """Ids of a pre-token as little-endian uint32 bytes. Two generations of ``REMEMBER`` pre-tokens are remembered; what is used again stays.
+
+    Workers outlive tasks, so a task forgets all at its end.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.pieces = {v: k for k, v in ranks.items()}
+        self.pieces, self.older = {v: k for k, v in ranks.items()}, {}
 
     def __missing__(self, token: str) -> bytes:
         if len(self) >= REMEMBER:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.merge(token.encode()), dtype="<u4").tobytes()
+        ids = self.older.get(token) or self.packed(token.encode())
         if len(token) <= 64:
             self[token] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+    def packed(self, piece: bytes) -> bytes:
+        ids = [self.ranks[piece]] if piece in self.ranks else self.merge(piece) if len(piece) <= SHORT else self.merge_long(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def merge(self, piece: bytes) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until none is left."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n = len(piece)
+        ranks, none = self.ranks.get, 1 << 32
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [ranks(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = ranks(parts[i - 1] + parts[i], none)
+        return [self.ranks[p] for p in parts]
+
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap, for pieces in which a search for each pair would be quadratic."""
+        ranks, n = self.ranks, len(piece)
         stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(ranks[p], i, i + 2) for i in range(n - 1) if (p := piece[i : i + 2]) in ranks]
         heapq.heapify(heap)
@@ -137,10 +162,13 @@ def _encoded(encoder: Encoder, rows: list[tuple[int | None, bytes]]) -> pa.Recor
 def _short_task(path: str, pattern: str):
     def run(batches):
         encoder = _encoder(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield _encoded(encoder, [(i, encoder.encode(t or "")) for i, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    yield _encoded(encoder, [(i, encoder.encode(t or "")) for i, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)])
+        finally:
+            encoder.forget()
 
     return run
 
@@ -176,6 +204,8 @@ def _stitch_task(path: str, pattern: str, chunk: int):
         ends = [np.frombuffer(b, dtype=np.int64) for b in t["ends"].to_pylist()]
         pieces = stitch(encoder.pattern, list(zip(t["text"].to_pylist(), ends, strict=True)), chunk)
         ids = b"".join([encoder[p] for p in pieces])
+        if len(encoder) > REMEMBER // 8:
+            encoder.forget()
         return pa.Table.from_batches([_encoded(encoder, [(t["id"][0].as_py(), ids)] * copies)])
 
     return run
