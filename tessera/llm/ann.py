@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: learned partitions of a neighbour graph.
 
 A sample of at most ``SAMPLE`` rows (those with the least id hashes; the bound is fixed)
-gives an exact nearest-neighbour graph. The graph is cut into ``PARTS`` parts of almost
-equal size with few edges between them: capacity-bounded label propagation from a balanced
-start. A small network (one hidden layer) then learns, for each vector, how its neighbours
-spread over the parts. All rows are indexed under their most probable part; a query goes to
-its ``PROBES`` most probable parts and is reranked there by exact distances. A part is
-stored in shards of about ``SHARD`` rows and searched in lots of queries, so a part or a
-vector of any frequency stays spread.
+gives an exact nearest-neighbour graph. The graph is cut into one part for ``PER_PART``
+sampled rows, up to ``MOST_PARTS``, of almost equal size with few edges between them:
+capacity-bounded label propagation from a balanced start. A small network (one hidden layer)
+then learns, for each vector, how its neighbours spread over the parts. All rows are indexed
+under their most probable part. A query goes to its most probable parts, as many as it takes
+for their probabilities to sum up to ``MASS``, and is reranked there by exact distances: the
+sum is the network's own estimate of the recall. So queries on clustered vectors read a few
+parts, and those on vectors without structure read many, as they must. A part is stored in
+shards of about ``SHARD`` rows and searched in lots of queries, so a part or a vector of any
+frequency stays spread.
 
 Defined cases: rows with a null id, a null, zero or empty vector, or null or non-finite
 components take no part; rows with the same id count once (least vector); vectors of
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 from .store import materialise
 from .vectors import best, bounded_sample, dealt, first_ids, matrix, valid_vectors
 
-SAMPLE, NEIGHBOURS = 8192, 10
-PARTS, PROBES = 64, 48
-HIDDEN, EPOCHS, BATCH, RATE = 128, 30, 256, 2e-3
+SAMPLE, NEIGHBOURS = 8192, 50
+MOST_PARTS, PER_PART, MASS = 256, 8, 0.95
+HIDDEN, EPOCHS, BATCH, RATE = 256, 60, 256, 2e-3
 SHARD, LOT = 16384, 1024
 
 
@@ -86,7 +89,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
 
 
 class Router:
-    """log-probabilities of the parts, from a network with one hidden layer."""
+    """Probabilities of the parts, from a network with one hidden layer."""
 
     def __init__(self, dim: int, parts: int, rng: np.random.Generator):
         self.p = [rng.standard_normal((dim, HIDDEN)) * np.sqrt(2 / dim), np.zeros(HIDDEN), rng.standard_normal((HIDDEN, parts)) * np.sqrt(1 / HIDDEN), np.zeros(parts)]
@@ -95,6 +98,14 @@ class Router:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(((x - self.mean) / self.scale) @ self.p[0] + self.p[1], 0) @ self.p[2] + self.p[3]
 
+    def most_probable(self, x: np.ndarray, mass: float, sizes: np.ndarray, least: int) -> list[list[int]]:
+        """For each row its most probable parts, best first, up to a sum of ``mass`` and to ``least`` rows (or all there are)."""
+        s = self.scores(x)
+        order = np.argsort(-s, axis=1, kind="stable")
+        p = np.exp(np.take_along_axis(s, order, 1) - s.max(1, keepdims=True))
+        short = (np.cumsum(p, axis=1) < mass * p.sum(1, keepdims=True)) | (np.cumsum(sizes[order], axis=1) < least)
+        return [o[:n].tolist() for o, n in zip(order, short.sum(1) + 1, strict=True)]
+
     def fit(self, x: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
         self.mean = x.mean(0)
         self.scale = float(np.sqrt(((x - self.mean) ** 2).mean())) or 1.0
@@ -119,7 +130,7 @@ class Router:
 
 def fit_router(x: np.ndarray, parts: int, seed: int = 7) -> Router:
     rng = np.random.default_rng(seed)
-    graph = neighbour_graph(x, NEIGHBOURS)
+    graph = neighbour_graph(x, min(NEIGHBOURS, max(1, len(x) // 20)))
     part = balanced_parts(x, graph, parts, rng)
     spread = np.zeros((len(x), parts))
     for j in range(graph.shape[1]):
@@ -130,19 +141,37 @@ def fit_router(x: np.ndarray, parts: int, seed: int = 7) -> Router:
     return router
 
 
-def _route_task(router: Router | None, dim: int, probes: int):
-    """The rows with their ``probes`` most probable parts, best first; part -1 for other lengths."""
-    out = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("vec", pa.list_(pa.float64())), ("parts", pa.list_(pa.int32()))])
+def _route_task(router: Router | None, dim: int):
+    """The rows with their most probable part; part -1 for other lengths."""
+    out = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("vec", pa.list_(pa.float64())), ("part", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            part = np.full(batch.num_rows, -1, dtype=np.int32)
+            rows = np.flatnonzero(batch.column(1).to_numpy() == dim) if router is not None else np.zeros(0, dtype=np.int64)
+            for at in range(0, len(rows), 4096):
+                own = rows[at : at + 4096]
+                part[own] = router.scores(matrix(batch.column(2).take(pa.array(own)), len(own))).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(pa.float64())), pa.array(part)], schema=out)
+
+    return run
+
+
+def _probe_task(router: Router | None, mass: float, sizes: np.ndarray, least: int):
+    """Queries, once for each part that they probe."""
 
     def run(batches):
         for batch in batches:
-            dims, parts = batch.column(1).to_numpy(), [[-1]] * batch.num_rows
-            rows = np.flatnonzero(dims == dim)
-            if router is not None and len(rows):
-                s = router.scores(matrix(batch.column(2).take(pa.array(rows)), len(rows)))
-                for i, top in zip(rows, np.argsort(-s, axis=1, kind="stable")[:, :probes].tolist(), strict=True):
-                    parts[i] = top
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(pa.float64())), pa.array(parts, pa.list_(pa.int32()))], schema=out)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                probed = [[p] for p in some.column(3).to_pylist()]
+                rows = np.flatnonzero(some.column(3).to_numpy() >= 0)
+                if len(rows):
+                    found = router.most_probable(matrix(some.column(2).take(pa.array(rows)), len(rows)), mass, sizes, least)
+                    for i, parts in zip(rows, found, strict=True):
+                        probed[i] = parts
+                again = some.take(pa.array(np.repeat(np.arange(some.num_rows), [len(p) for p in probed])))
+                yield again.set_column(3, "part", pa.array([p for parts in probed for p in parts], pa.int32()))
 
     return run
 
@@ -203,19 +232,22 @@ def _rerank_task(k: int):
     return run
 
 
-def approximate_nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, every: int = 100, k: int = 10, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def approximate_nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, every: int = 100, k: int = 10, most_parts: int = MOST_PARTS, mass: float = MASS, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for the rows whose id is divisible by ``every``, among all others."""
     rows = valid_vectors(vectors, id_col, vec_col, zero_ok=False)
     picked: dict[int, list] = {}
     for r in bounded_sample(rows, sample).collect():
         picked.setdefault(r.dim, []).append(r.vec)
     dim = max(picked, key=lambda d: len(picked[d]), default=0)
-    router = fit_router(np.array(picked[dim], dtype=np.float64), parts) if dim and len(picked[dim]) >= 8 * parts else None
-    routed = materialise(spark, rows.mapInArrow(_route_task(router, dim, probes), "id long, dim int, vec array<double>, parts array<int>"), "routed")
-    placed = routed.select("id", "dim", "vec", F.element_at("parts", 1).alias("part"))
+    parts = min(most_parts, max(1, len(picked.get(dim, ())) // PER_PART))
+    router = fit_router(np.array(picked[dim], dtype=np.float64), parts) if dim else None
+    routed = materialise(spark, rows.mapInArrow(_route_task(router, dim), "id long, dim int, vec array<double>, part int"), "routed")
+    sizes = np.zeros(parts, dtype=np.int64)
+    for r in routed.where("part >= 0").groupBy("part").count().collect():  # at most most_parts rows
+        sizes[r.part] = r["count"]
     shard = "dim int, part int, shard long, body binary"
-    shards = materialise(spark, dealt(placed, ["dim", "part"], SHARD, "shard").groupBy("dim", "part", "shard").applyInArrow(_shard_task(k + 1), shard), "shards")
-    asked = routed.where(F.pmod("id", F.lit(every)) == 0).select("id", "dim", "vec", F.explode("parts").alias("part"))
+    shards = materialise(spark, dealt(routed, ["dim", "part"], SHARD, "shard").groupBy("dim", "part", "shard").applyInArrow(_shard_task(k + 1), shard), "shards")
+    asked = routed.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(_probe_task(router, mass, sizes, k + 1), routed.schema)
     lots = dealt(asked, ["dim", "part"], LOT, "shard").groupBy("dim", "part", "shard").applyInArrow(_shard_task(None), shard)
     lots = materialise(spark, lots, "lots").select(F.col("dim").alias("dim"), F.col("part").alias("part"), F.col("shard").alias("lot"), F.col("body").alias("q_body"))
     lots = lots.join(shards.select("dim", "part", "shard"), ["dim", "part"])

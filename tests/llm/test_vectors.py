@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, topk
+from tessera.llm import ann, registry, topk
 from tests.compare import connect, differences
 
 
@@ -87,11 +87,49 @@ def test_neighbours(spark):
     assert ann.approximate_nearest(spark, frame(spark, rows).limit(0)).collect() == []
 
 
-def test_recall_on_unclustered_vectors():
+def recall(spark, sf_dir):
+    """(recall, results) of the registered query against brute force."""
+    table = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    v = valid(table.items(), False)
+    ids = np.array(sorted(v))
+    x = np.array([v[i] for i in ids])
+    got = {}
+    for r in registry.queries()["op7_learned_partitions_ann"](spark, sf_dir).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hits = want = 0
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(((x - np.array(v[q])) ** 2).sum(1))
+        d[ids == q] = np.inf
+        near = ids[np.lexsort((ids, d))[:10]]
+        assert [r for r, _ in sorted(got[q])] == list(range(1, 11))
+        hits += len({i for _, i in got[q]} & set(near.tolist()))
+        want += 10
+    return hits / want
+
+
+def test_recall_of_the_query(spark):
+    for sf_dir in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        assert recall(spark, sf_dir) >= 0.9
+
+
+def test_recall_and_rows_read():
+    """Vectors without structure need about 3 in 5 rows, clustered ones a few in a hundred."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(4096, 64))
-    router = ann.fit_router(x, ann.PARTS)
-    s = router.scores(x)
-    part, tops = s.argmax(1), np.argsort(-s, axis=1)[:, : ann.PROBES]
-    graph = ann.neighbour_graph(x, 10)
-    assert np.mean([np.isin(part[graph[i]], tops[i]).mean() for i in range(0, 4096, 20)]) >= 0.9
+    loose = rng.normal(size=(6000, 64))
+    tight = rng.normal(size=(150, 64))[rng.integers(0, 150, 6000)] + 0.25 * rng.normal(size=(6000, 64))
+    for x, most in ((loose, 0.75), (tight, 0.06)):
+        router = ann.fit_router(x[:4096], 256)
+        part = router.scores(x).argmax(1)
+        sizes = np.bincount(part, minlength=256)
+        asked = np.arange(0, 6000, 20)
+        probed = router.most_probable(x[asked], ann.MASS, sizes, 11)
+        graph = ann.neighbour_graph(x, 10)
+        assert np.mean([np.isin(part[graph[i]], p).mean() for i, p in zip(asked, probed)]) >= 0.9
+        assert np.mean([sizes[p].sum() for p in probed]) <= most * len(x)
+        assert min(sizes[p].sum() for p in probed) >= 11
+
+
+def test_all_candidates_come_back_if_there_are_few(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(5)]
+    got = ann.approximate_nearest(spark, frame(spark, rows), every=2, k=10).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(q, i) for q in (0, 2, 4) for i in range(5) if i != q]
