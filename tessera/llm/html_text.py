@@ -10,7 +10,8 @@ not that of descendants that are ``visible`` again.
 
 The renderer emits all visible text: white space collapses, except in ``pre``; blocks start
 new lines, paragraphs and headings stand between blank lines; list items carry a dash or
-their number, indented by depth; cells of a table are aligned in columns. Everything is
+their number, indented by depth; cells of a table are aligned in columns, and what a cell
+covers beyond its first column and row stays blank. Everything is
 iterative, so any depth of nesting works, and linear in the page apart from table padding.
 
 Defined cases: a null page gives null text; an empty or unparsable one gives what text it
@@ -254,19 +255,47 @@ def chosen(select: Node) -> list:
     return [kid for o in shown for kid in o.kids]
 
 
-def _aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (lines each), in columns."""
-    width: list[int] = []
+def _span(named: dict[str, str], name: str, most: int) -> int:
+    """How many columns or rows a cell covers; 0 rows are all that follow."""
+    m = _START.match(named.get(name, ""))
+    n = int(m[1]) if m else 1
+    return most if n == 0 and name == "rowspan" else min(max(n, 1), most)
+
+
+Cell = tuple[list[str], int, int]  # lines, columns and rows covered
+
+
+def _grid(rows: list[list[Cell]]) -> list[list[tuple[list[str], bool]]]:
+    """Cells (lines, whether over one column) by column: covered places are blank, columns in which no cell begins are left out."""
+    placed: list[dict[int, tuple[list[str], bool]]] = []
+    covered: dict[int, int] = {}
     for row in rows:
-        for k, cell in enumerate(row):
-            if k == len(width):
-                width.append(0)
-            if len(row) > 1:
+        cells, below, at = {}, {}, 0
+        for lines, across, down in row:
+            while at in covered:
+                at += 1
+            cells[at] = lines, across > 1
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + across), down)
+            at += across
+        placed.append(cells)
+        covered = {k: n - 1 for k, n in (covered | below).items() if n > 1}
+    columns = sorted(set().union(*placed))
+    return [[cells.get(k, ([], True)) for k in columns if k <= max(cells)] if cells else [] for cells in placed]
+
+
+def _aligned(rows: list[list[Cell]]) -> list[str]:
+    """Rows of cells, in columns."""
+    grid = _grid(rows)
+    width = [0] * max(map(len, grid), default=0)
+    for row in grid:
+        for k, (cell, wide) in enumerate(row):
+            if len(row) > 1 and not wide:
                 width[k] = max(width[k], max(map(len, cell), default=0))
     out = []
-    for row in rows:
-        for i in range(max(map(len, row), default=0)):
-            cells = [(c[i] if i < len(c) else "") for c in row]
+    for row in grid:
+        for i in range(max((len(c) for c, _ in row), default=0)):
+            cells = [(c[i] if i < len(c) else "") for c, _ in row]
             out.append(" | ".join(c.ljust(width[k]) if k < len(cells) - 1 else c for k, c in enumerate(cells)).rstrip())
     return out
 
@@ -274,7 +303,7 @@ def _aligned(rows: list[list[list[str]]]) -> list[str]:
 def render(root: Node) -> str:
     """Visible text of the tree. ``todo`` holds nodes to enter and actions to run on leaving."""
     outs = [Out()]
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[Cell]]] = []
     lists: list[list] = []
     todo: list = [(root, False, True, "")]
     while todo:
@@ -347,9 +376,11 @@ def render(root: Node) -> str:
             outs.append(Out())
             held, lists = lists, []
 
-            def leave_cell(row=tables[-1][-1], held=held):
+            named = attributes(node.attrs) if node.attrs else {}
+
+            def leave_cell(row=tables[-1][-1], held=held, spans=(_span(named, "colspan", 1000), _span(named, "rowspan", 65534))):
                 nonlocal lists
-                row.append(outs.pop().done())
+                row.append((outs.pop().done(), *spans))
                 lists = held
 
             todo.append(leave_cell)

@@ -1,5 +1,7 @@
 """What counts as hidden on a page."""
 
+import re
+
 from tessera.llm.html_text import to_text
 
 
@@ -27,3 +29,52 @@ def test_text_of_formulas_drawings_and_forms():
     assert to_text("<select><option>one<option>two</select>") == "one"
     assert to_text("<select multiple><optgroup><option>one<option>two</optgroup></select>") == "one\ntwo"
     assert to_text('<p style="visibility:hidden">a<svg><text>b</text></svg></p>c') == "c"
+
+
+def test_cells_over_rows_and_columns():
+    assert to_text("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>") == "r | 1\n  | 2"
+    assert to_text("<table><tr><th colspan=2>both<th>c<tr><td>a<td>b<td>3</table>") == "both |   | c\na | b | 3"
+    assert to_text("<table><tr><td rowspan=0>all<td>x<tr><td>y<tr><td>z</table>") == "all | x\n    | y\n    | z"
+    assert to_text("<table><tr><td colspan=1000>wide<td>x<tr><td>y<td colspan='0'>z</table>") == "wide |   | x\ny | z"
+    assert to_text("<table><tr><td colspan=-3 rowspan=x>a<td>b</table>") == "a | b"
+
+
+def shown_words(page):
+    """Words outside tags, by another reader: the standard library's, with hidden subtrees left out."""
+    import html.parser
+
+    class Reader(html.parser.HTMLParser):
+        skip, out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            named = dict(attrs)
+            hides = tag in ("head", "script", "style", "template", "noscript", "title", "iframe", "object", "audio", "video", "canvas") or "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", "")
+            if (self.skip or hides) and tag not in ("br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr"):
+                self.skip.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.skip:
+                while self.skip.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.skip, reader.out = [], []
+    reader.feed(page)
+    reader.close()
+    return "".join(" ".join(reader.out).split())
+
+
+def test_all_pages_keep_every_visible_word_and_no_other():
+    import pyarrow.parquet as pq
+
+    off = []
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        got = re.sub(r"(?m)^\s*(?:- |\d+\. )| \| ?|^\| ", "", to_text(page or ""))
+        marks = re.compile(r"[-|.\d\s]")
+        if marks.sub("", got) != marks.sub("", shown_words(page or "")):
+            off.append(page)
+    assert not off, (len(off), off[0])
