@@ -10,8 +10,9 @@ nothing else, and it grows with the distinct sizes and not with the documents.
 
 Rates become whole copies from large sizes to small ones, each size taking up the rounding
 error of those before it, so a source ends within about one small document of its target.
-Which documents of one source and size get an extra copy is settled by a hash of the id, in
-sub-cells that keep every window bounded however many documents share a size.
+Which documents of one source and size get an extra copy is settled by a hash of the id and
+the text (and of the columns carried along), in sub-cells that keep every window bounded
+however many documents share a size. Only rows that agree in all of these are interchangeable.
 
 Defined cases: a null text has size 0; documents of size 0 have rate 1 (one copy, no words);
 null is a source of its own, ordered last; rows that repeat count and are dealt each; with
@@ -94,12 +95,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """``id_col``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken``, one row for each row of ``docs``; ``keep`` names columns to carry along."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     carried = [F.col(c).alias(f"kept_{c}") for c in keep]
-    sizes = materialise(spark, docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *carried), "sizes")
+    sizes = materialise(spark, docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col, *keep).alias("mark"), *carried), "sizes")
     targets = materialise(spark, source_targets(sizes, weights, share, most), "targets")
     names = targets.select(F.col("source").alias("name"), "rank", "source_size", "target")
     rows = sizes.join(names, sizes["source"].eqNullSafe(names["name"])).drop("name", "source")
     subs = max(1, sizes.count() // PER_CELL)
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("id"), F.lit(subs)))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("id", "mark"), F.lit(subs)))
     cells = materialise(spark, rows.where("size > 0").groupBy("rank", "size", "sub").agg(F.count("*").alias("in_sub")), "cells")
     histogram = materialise(spark, cells.groupBy("rank", "size").agg(F.sum("in_sub").alias("n")), "histogram")
     found = tilts(spark, histogram, targets, most)
@@ -110,7 +111,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     split = cells.withColumn("upto", upto).withColumn("all", F.sum("in_sub").over(w)).join(copies, ["rank", "size"])
     part = lambda c: F.expr(f"m * ({c}) div all")
     split = split.select("rank", "size", "sub", "in_sub", (part("upto") - part("upto - in_sub")).alias("m"))
-    place = F.row_number().over(Window.partitionBy("rank", "size", "sub").orderBy(F.xxhash64("id", F.lit(1)), "id"))
+    place = F.row_number().over(Window.partitionBy("rank", "size", "sub").orderBy(F.xxhash64("id", F.lit(1)), "id", "mark"))
     dealt = rows.where("size > 0").withColumn("place", place).join(split, ["rank", "size", "sub"])
     dealt = dealt.withColumn("copies", F.expr("m div in_sub + if(place <= m % in_sub, 1, 0)")).drop("place", "in_sub", "m")
     out = dealt.unionByName(rows.where("size = 0").withColumn("copies", F.lit(1).cast("long")))
