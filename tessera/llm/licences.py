@@ -34,6 +34,13 @@ TEMPLATES = (
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("gpl-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl-grant", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("bsd-conditions", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
 

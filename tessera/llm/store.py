@@ -9,15 +9,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a folder of our own (local mode, tests) only if none is set."""
+    """The shared folder; a folder of our own only in local mode (tests), if none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -47,10 +51,12 @@ def drop_since(spark: SparkSession, mark: int, keep: tuple[DataFrame, ...] = ())
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(hadoop).delete(path.getParent(), True)
+    for path in paths:
+        try:
+            store, inside = pa.fs.FileSystem.from_uri(path)
+            store.delete_dir(inside.rpartition("/")[0])
+        except (pa.ArrowInvalid, OSError):  # a store that only Spark reaches: an empty table takes its place
+            spark.createDataFrame([], "empty int").write.mode("overwrite").parquet(path)
 
 
 def release(spark: SparkSession) -> None:
