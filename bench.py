@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 
 from tessera import catalog
 
-QUERIES = ["rel_pricing_summary", "tpch_q3", "tpch_q4", "tpch_q5", "tpch_q6", "tpch_q7", "tpch_q8", "tpch_q9", "tpch_q10", "tpch_q12", "tpch_q13", "tpch_q14", "tpch_q15", "tpch_q17", "tpch_q18", "tpch_q19", "tpch_q21", "tpch_q22"]
-QUERIES += ["nexmark_q0", "nexmark_q7", "nexmark_q9", "nexmark_q15", "log_distinct_users", "rel_cube", "rewrite_lazy_grouping_sets", "rel_multi_distinct", "win_running_sum", "win_top_k_per_group", "rewrite_unbounded_window", "rewrite_as_of_join", "rewrite_range_join"]
+QUERIES = ["rel_pricing_summary", "tpch_q1", "tpch_q2", "tpch_q3", "tpch_q4", "tpch_q5", "tpch_q6", "tpch_q7", "tpch_q8", "tpch_q9", "tpch_q10", "tpch_q11", "tpch_q12", "tpch_q13", "tpch_q14", "tpch_q15", "tpch_q16", "tpch_q17", "tpch_q18", "tpch_q19", "tpch_q20", "tpch_q21", "tpch_q22"]
+QUERIES += ["nexmark_q0", "nexmark_q7", "nexmark_q9", "nexmark_q15", "log_distinct_users", "rel_cube", "rewrite_lazy_grouping_sets", "rel_multi_distinct", "win_running_sum", "win_top_k_per_group", "rewrite_unbounded_window", "rewrite_as_of_join", "rewrite_range_join", "rel_either_join", "rel_any_join", "rel_bloom_filtered_join", "rel_range_sort"]
 
 
 def main() -> None:

@@ -19,11 +19,13 @@ MODULES = (
     "tessera.functions.aggregates",
     "tessera.functions.udfs",
     "tessera.operators.relational",
+    "tessera.operators.strategies",
     "tessera.plans.benchmarks",
     "tessera.plans.rewrites",
     "tessera.plans.coverage",
     "tessera.sources.tables",
     "tessera.streaming.windows",
+    "tessera.streaming.joins",
 )
 
 

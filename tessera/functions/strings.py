@@ -21,7 +21,7 @@ scalar("customer", [
     ("overlay", "overlay(c_name PLACING 'XX' FROM 3 FOR 2)", "substr(c_name, 1, 2) || 'XX' || substr(c_name, 5)"),
     ("conv", "conv(cast(c_custkey as string), 10, 16)", "upper(to_base(c_custkey, 16))"), ("find_in_set", "find_in_set(c_mktsegment, 'BUILDING,MACHINERY,AUTOMOBILE')", "coalesce(list_position(['BUILDING', 'MACHINERY', 'AUTOMOBILE'], c_mktsegment), 0)::INTEGER"),
     ("decode", "decode(encode(c_name, 'utf-8'), 'utf-8')", "c_name"), ("encode", "hex(encode(c_name, 'utf-8'))", "hex(encode(c_name))"),
-    ("uuid", "length(uuid())", "36"), ("bit_length", "bit_length(c_name)", "bit_length(c_name)::INTEGER"), ("octet_length", "octet_length(c_name)", "strlen(c_name)::INTEGER"),
+    ("uuid", "(uuid() rlike '^[0-9a-f]+-[0-9a-f]+-4[0-9a-f]+-[0-9a-f]+-[0-9a-f]+$') AND length(uuid()) = 36", "TRUE"), ("bit_length", "bit_length(c_name)", "bit_length(c_name)::INTEGER"), ("octet_length", "octet_length(c_name)", "strlen(c_name)::INTEGER"),
     ("levenshtein", "levenshtein(c_mktsegment, 'BUILDING')", "levenshtein(c_mktsegment, 'BUILDING')::INTEGER"),
     ("base64", "base64(encode(c_name, 'utf-8'))", "to_base64(encode(c_name))"), ("unbase64", "decode(unbase64(base64(encode(c_name, 'utf-8'))), 'utf-8')", "c_name"),
     ("format_string", "format_string('%s:%05d', c_mktsegment, c_custkey)", "printf('%s:%05d', c_mktsegment, c_custkey)"),
@@ -29,12 +29,12 @@ scalar("customer", [
     ("regexp_replace", "regexp_replace(c_name, '[0-9]+', 'N')", "regexp_replace(c_name, '[0-9]+', 'N', 'g')"), ("regexp_extract", "regexp_extract(c_name, '([1-9][0-9]*)', 1)", None),
     ("regexp_extract_all", "array_join(regexp_extract_all(c_name, '([0-9])', 1), ',')", "array_to_string(regexp_extract_all(c_name, '([0-9])', 1), ',')"),
     ("split_part", "split_part(c_name, '#', 2)", None), ("mask", "mask(c_name)", "regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')"),
-    ("luhn_check", "luhn_check(cast(c_custkey as string))", ...), ("randstr", "length(randstr(5, 7))", "5"), ("parse_url", "parse_url(concat('https://h.example/p?k=', c_custkey, '#f'), 'QUERY', 'k')", "c_custkey::VARCHAR"),
+    ("luhn_check", "luhn_check(cast(c_custkey as string))", "list_sum([CASE WHEN (length(c_custkey::VARCHAR) - i) % 2 = 0 THEN substr(c_custkey::VARCHAR, i, 1)::INT ELSE 2 * substr(c_custkey::VARCHAR, i, 1)::INT // 10 + 2 * substr(c_custkey::VARCHAR, i, 1)::INT % 10 END FOR i IN range(1, length(c_custkey::VARCHAR) + 1)]) % 10 = 0"), ("randstr", "length(randstr(5, 7))", "5"), ("parse_url", "parse_url(concat('https://h.example/p?k=', c_custkey, '#f'), 'QUERY', 'k')", "c_custkey::VARCHAR"),
     ("parse_url_host", "parse_url(concat('https://h', c_nationkey, '.example/p'), 'HOST')", "'h' || c_nationkey || '.example'"),
     ("url_encode", "url_encode(concat(c_name, ' &'))", "replace(replace(replace(c_name || ' &', '#', '%23'), '&', '%26'), ' ', '+')"), ("url_decode", "url_decode(url_encode(c_name))", "c_name"),
     ("md5", "md5(c_name)", None), ("sha1", "sha1(c_name)", None), ("sha2", "sha2(c_name, 256)", "sha256(c_name)"), ("crc32", "crc32(c_name)", ...), ("murmur3hash", "hash(c_name, c_custkey)", ...), ("xxhash64", "xxhash64(c_name, c_custkey)", ...),
-    ("compare_substrings", "substring(c_name, 1, 3) < substring(c_mktsegment, 2, 3)", "substr(c_name, 1, 3) < substr(c_mktsegment, 2, 3)"), ("to_pretty_string", "cast(c_acctbal as string) = cast(cast(c_acctbal as string) as string)", "TRUE"),
-    ("empty2null", "nullif(trim(substring(c_name, 100, 1)), '')", "NULL::VARCHAR"), ("varchar_write_check", "cast(c_mktsegment as varchar(20))", "c_mktsegment"), ("char_padding", "rpad(c_mktsegment, 12, ' ')", None),
+    ("compare_substrings", "substring(c_name, 1, 3) < substring(c_mktsegment, 2, 3)", "substr(c_name, 1, 3) < substr(c_mktsegment, 2, 3)"), ("to_pretty_string", "coalesce(cast(nullif(c_nationkey, 3) as string), 'NULL')", "coalesce(nullif(c_nationkey, 3)::VARCHAR, 'NULL')"),
+    ("empty2null", "nullif(if(c_nationkey > 10, '', c_mktsegment), '')", "CASE WHEN c_nationkey <= 10 THEN c_mktsegment END"), ("varchar_write_check", "cast(c_mktsegment as varchar(20))", "c_mktsegment"), ("char_padding", "rpad(c_mktsegment, 12, ' ')", None),
     ("char_write_check", "length(cast(c_mktsegment as char(12)))", "length(c_mktsegment)::INTEGER"),
 ])
 

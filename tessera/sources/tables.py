@@ -23,7 +23,7 @@ _format("orc", "orc")
 _format("csv", "csv", {"header": "true"}, True)
 _format("text_delimited", "csv", {"sep": "\u0001", "header": "false"}, True)
 _format("json", "json", None, True)
-_format("avro_like_binary", "parquet", {"parquet.block.size": str(1 << 20)})
+_format("parquet_small_row_groups", "parquet", {"parquet.block.size": str(1 << 20)})
 
 
 @query("io_text", "SELECT n_name AS value FROM nation")

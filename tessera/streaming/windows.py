@@ -2,7 +2,8 @@
 
 Each builder takes a streaming (or batch) DataFrame and returns one; ``drain`` runs a
 stream over what its source holds now, into files in the shared folder, and reads them.
-State is bounded by the watermark in every operator that keeps some.
+Windows, sessions and interval joins are cleared by the watermark; aggregates without
+a window keep one row a key (deduplication by key, a row of each pair seen).
 """
 
 from __future__ import annotations
@@ -123,15 +124,15 @@ def joined_intervals(spark, sf_dir):
     return drain(spark, interval_join(a, b, F.col("u") == F.col("user_id"), "at", "ts", "30 minutes")).select("click", "buy")
 
 
-@query("stream_window_join", f"SELECT s, a.user_id, a.n AS clicks, b.n AS buys FROM (SELECT date_trunc('hour', ts) AS s, user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2) a JOIN (SELECT date_trunc('hour', ts) AS s, user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) b USING (s, user_id) WHERE s + INTERVAL 1 HOUR <= {CLOSED}")
+@query("stream_window_pair_aggregate", f"SELECT s, a.user_id, a.n AS clicks, b.n AS buys FROM (SELECT date_trunc('hour', ts) AS s, user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2) a JOIN (SELECT date_trunc('hour', ts) AS s, user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) b USING (s, user_id) WHERE s + INTERVAL 1 HOUR <= {CLOSED}")
 def window_join(spark, sf_dir):
-    """Both sides aggregated in one pass a window: an equi-join of window aggregates as one conditional aggregate."""
+    """Two window aggregates side by side, as one conditional aggregate instead of a join."""
     n = lambda t: F.count(F.when(F.col("event_type") == t, 1))
     both = tumbling(events_stream(spark, sf_dir), "ts", "1 hour", ["user_id"], [n("click").alias("clicks"), n("purchase").alias("buys")])
     return drain(spark, both.where("clicks > 0 and buys > 0")).select(F.col("window.start").cast("timestamp_ntz").alias("s"), "user_id", "clicks", "buys")
 
 
-@query("stream_regular_join", "SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey")
+@query("stream_static_join", "SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey")
 def stream_static(spark, sf_dir):
     return drain(spark, events_stream(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("user_id") == F.col("c_custkey")).select("event_id", "c_name"))
 
@@ -143,12 +144,12 @@ def latest(spark, sf_dir):
 
 @query("stream_top_n", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) t WHERE r <= 10")
 def top_n(spark, sf_dir):
-    """Top 10 of each key as a bounded aggregate: only k rows a key are kept as state."""
+    """Top 10 of each key from all its rows, which are kept as state; ``stream_bounded_top_n`` keeps ten."""
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("v"), "event_id"))), 1, 10)
     stream = events_stream(spark, sf_dir).groupBy("event_type").agg(best.alias("best"))
     return drain(spark, stream, "complete").select("event_type", F.explode("best.event_id").alias("event_id"))
 
 
-@query("stream_print_sink", "SELECT count(*) AS n FROM events")
+@query("stream_global_count", "SELECT count(*) AS n FROM events")
 def memory_of_counts(spark, sf_dir):
     return drain(spark, events_stream(spark, sf_dir).agg(F.count("*").alias("n")), "complete")
