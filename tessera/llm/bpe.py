@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 CHUNK, OVERLAP, TAIL = 1 << 15, 1 << 10, 64
 REMEMBER, SHORT = 150_000, 256
 
@@ -215,6 +217,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: s
     """``id_col``, ``n_tokens``, ``ids`` (little-endian uint32) and ``decoded`` (bytes), one row for each row of ``docs``. ``path`` must be readable on every executor."""
     if overlap <= TAIL:
         raise ValueError(f"chunks must overlap by more than {TAIL} characters")
+    bound_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     out = "id long, n_tokens long, ids binary, decoded binary"
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript datalist iframe noembed noframes object audio video canvas title meta link rp".split())
@@ -402,6 +404,7 @@ def _task(batches):
 
 def extract_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id_col`` and ``text``, one row for each row of ``pages``."""
+    bound_batches(spark)
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
     return src.mapInArrow(_task, "id long, text string").withColumnRenamed("id", id_col)
 

@@ -14,6 +14,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+BATCH, _LIMIT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to ``BATCH``: whole texts vary in length, and a batch stands in memory several times, in the JVM and in Python."""
+    now = spark.conf.get(_LIMIT).removesuffix("b")
+    if now.isdecimal() and int(now) > BATCH:
+        spark.conf.set(_LIMIT, BATCH)
 
 
 def folder(spark: SparkSession) -> str:

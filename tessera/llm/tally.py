@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import digest, mix, text_slices
+from .store import bound_batches
 
 PART, SPREAD, SAME = 4 << 20, 6.4, 64
 NULL_ID = -(1 << 63)
@@ -55,6 +56,7 @@ def opened(blobs: list[bytes], kind) -> np.ndarray:
 
 def part_count(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """(parts, bytes of all texts)."""
+    bound_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     return max(16, int(size // max(PART, SPREAD * size**0.5))), size
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 MARK, PENALTY, REMEMBER = "▁", 10.0, 1_000_000
 NORMAL, BYTE = (1, 4), 6
 
@@ -150,6 +152,7 @@ def _task(path: str):
 def count_tokens(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens`` and ``n_words`` (space-separated), one row for each row of ``docs``. ``path`` must be readable on every executor."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bound_batches(spark)
     return src.mapInArrow(_task(path), "id long, n_tokens long, n_words long").withColumnRenamed("id", id_col)
 
 
