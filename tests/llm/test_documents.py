@@ -285,7 +285,7 @@ def test_html_keeps_every_visible_word():
     for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
         want = html.unescape(strip.sub(" ", page)).split()
         got = [w for w in html_text.to_text(page).split() if w not in ("-", "|")]
-        assert "".join(w for w in want if w not in ("-", "|")) == "".join(re.sub(r"^\d+\.$", "", w) for w in got) or len(got) >= 0.9 * len(want)
+        assert "".join(w for w in want if w not in ("-", "|")) == "".join(re.sub(r"^\d+\.$", "", w) for w in got)
 
 
 def test_pipeline(spark, small):
@@ -295,8 +295,7 @@ def test_pipeline(spark, small):
         after = stage(spark, before, small)
         if name == "near_dedup":
             rows = [(r.doc_id, r.text) for r in before.collect()]
-            table, n = neardup.idf_table(before.select("text"))
-            keep = sorted(d for d, c in classes(rows, neardup.idf_values(table, n)) if d == c)
+            keep = sorted(d for d, c in classes(rows) if d == c)
             assert sorted(r.doc_id for r in after.collect()) == keep
         if name == "substring":
             want = {d: (m, k) for d, _, m, k in cut([(r.doc_id, r.text) for r in before.collect()])}
@@ -308,10 +307,52 @@ def test_pipeline(spark, small):
     assert before.count() > 0
 
 
+def test_pipeline_runs_as_a_whole(spark, small):
+    """What ``run`` returns: of each text that is left, the ids that the library gives and the digest of the same text."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, small)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = sorted((r.doc_id, len(ids := enc.encode_ordinary(r.text or "")), np.array(ids, "<u4").tobytes(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
+    got = sorted((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, small).collect())
+    assert got == want and len(got) > 50
+
+
+def test_bpe_query(spark, small):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode())))
+    assert sorted(map(tuple, bpe.op8_byte_level_bpe(spark, small).collect())) == sorted(want)
+
+
 def test_stages_take_odd_rows(spark, small):
     docs = odd(spark).select(*corpus_pipeline.COLUMNS)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, small).collect()
+        assert stage(spark, docs.limit(0), small).collect() == []
+
+
+def test_operators_on_empty_tables(spark):
+    none, path = odd(spark).limit(0), public_tokenizers.path("piece_bpe_32k.model")
+    assert viterbi.count_tokens(spark, none, path).collect() == []
+    assert html_text.extract_text(spark, none, "doc_id", "text").collect() == []
+    assert mixing.mix_sources(spark, none).collect() == []
+    assert bpe.encode_documents(spark, none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []
+    model = quality.fit_quality(spark, none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.scored(none, model).collect() == []
+
+
+def test_mixing_tells_rows_of_one_id_apart(spark):
+    """Copies go by id and text, so a rerun over rows in another order gives each the same."""
+    rows = [(1, " ".join(f"{k}x{i}" for i in range(10)), "a" if k % 3 else "b") for k in range(60)]
+    taken = []
+    for order in (rows, rows[::-1]):
+        mixed = mixing.mix_sources(spark, spark.createDataFrame(order, "doc_id long, text string, source string"), keep=("text",))
+        taken.append(sorted((r.kept_text, r.taken) for r in mixed.collect()))
+    assert taken[0] == taken[1]
 
 
 def test_registry():
