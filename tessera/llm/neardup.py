@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .hashing import MOST_TEXTS, PIECE, Words, mix
-from .store import drop_since, materialise, written
+from .store import drop_since, materialise, most_files, written
 from .tally import NULL_ID, distinct, looked_up, opened, packed, part_count, shut, totals, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -263,7 +263,7 @@ def _blocks_task(threshold: float):
     return run
 
 
-def _block_links(spark: SparkSession, large: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _block_links(spark: SparkSession, large: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, files: int) -> DataFrame:
     """Links across components in the buckets ``large`` (key, node, root, far), whatever their size.
 
     A bucket's largest component and its other members are dealt to blocks of about BLOCK;
@@ -281,26 +281,27 @@ def _block_links(spark: SparkSession, large: DataFrame, nodes: DataFrame, sets:
     dealt = dealt.select("key", "node", "root", "far", "block", with_.alias("with_"))
     dealt = dealt.select("key", "node", "root", "far", "block", F.least("block", "with_").alias("left"), F.greatest("block", "with_").alias("right"))
     full = dealt.join(nodes.select("node", "bands"), "node").join(sets, "node")
-    full = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "left", "right")  # few bytes, much work: not to be coalesced
-    return materialise(spark, full.groupBy("key", "left", "right").applyInPandas(_blocks_task(threshold), "u long, v long"), "links")
+    full = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "left", "right")  # few bytes, much work: not to be coalesced by size
+    return materialise(spark, full.groupBy("key", "left", "right").applyInPandas(_blocks_task(threshold), "u long, v long"), "links", files)
 
 
-def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _settle(spark: SparkSession, rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, files: int | None = None) -> DataFrame:
     """Links (u < v) that join all texts of similarity ``threshold`` or more that share a bucket of ``rows`` (key, node, n, lead)."""
-    edges = materialise(spark, rows.where("node <> lead").select(*_pairs("lead", "node")).distinct(), "edges")
-    tried = materialise(spark, compared(edges, sets), "compared")
-    roots = materialise(spark, connected(spark, _links(tried, threshold)), "roots")
+    files = files or most_files(spark)
+    edges = materialise(spark, rows.where("node <> lead").select(*_pairs("lead", "node")).distinct(), "edges", files)
+    tried = materialise(spark, compared(edges, sets), "compared", files)
+    roots = materialise(spark, connected(spark, _links(tried, threshold), files), "roots", files)
     rooted = rows.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     far = tried.select(F.col("u").alias("lead"), F.col("v").alias("node"), (1 - F.col("sim")).alias("far"))
     placed = rooted.join(mixed, "key").join(far, ["lead", "node"], "left").select("key", "node", "root", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
-    placed = materialise(spark, placed, "placed")
+    placed = materialise(spark, placed, "placed", files)
     few = placed.where(F.col("n") <= SMALL + 1)
     near = F.abs(F.col("a.far") - F.col("b.far")) <= 1 - threshold + 1e-6
     across = few.alias("a").join(few.alias("b"), "key").where("a.node < b.node and a.root <> b.root").where(near)
     across = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
-    more = materialise(spark, compared(materialise(spark, across, "edges"), sets), "compared")
-    large = _block_links(spark, placed.where(F.col("n") > SMALL + 1), nodes, sets, threshold)
+    more = materialise(spark, compared(materialise(spark, across, "edges", files), sets), "compared", files)
+    large = _block_links(spark, placed.where(F.col("n") > SMALL + 1), nodes, sets, threshold, files)
     return _links(tried, threshold).union(_links(more, threshold)).union(large)
 
 
@@ -315,52 +316,55 @@ def _nodes(signed: DataFrame) -> DataFrame:
     return signed.where("node is not null").groupBy("node").agg(top, F.max("check").alias("last")).select("node", "top.*", "last")
 
 
-def _split(spark: SparkSession, signed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(spark: SparkSession, signed: DataFrame, nodes: DataFrame, files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Splits nodes whose texts differ; there are none but by chance, so most runs only look."""
     mixed = nodes.where("check <> last").select("node", F.col("check").alias("first"))
     if not mixed.take(1):
         return signed, nodes
     other = F.when(F.col("check") != F.col("first"), F.xxhash64("node", "check")).otherwise(F.col("node"))
-    signed = materialise(spark, signed.join(mixed, "node", "left").withColumn("node", other).drop("first"), "signatures")
-    return signed, materialise(spark, _nodes(signed), "nodes")
+    signed = materialise(spark, signed.join(mixed, "node", "left").withColumn("node", other).drop("first"), "signatures", files)
+    return signed, materialise(spark, _nodes(signed), "nodes", files)
 
 
-def _classed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, mark, root), one row for each row of ``docs``; root is null for texts without words."""
+def _classed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, int]:
+    """(id, mark, root), one row for each row of ``docs``, and how many files of such rows will do; root is null for texts without words."""
     id_, mark_ = _keyed(id_col, text_col)
     src = docs.select(F.col(text_col).alias("text"), id_, mark_)
     mark = written()
     parts, _ = part_count(src)
+    files = most_files(spark, parts)
     dealt = packed(src, parts)
     merged = totals(dealt, parts, _frequencies, TEXTS + 1)
     signed = materialise(spark, dealt.groupBy("part").cogroup(merged.groupBy("part")).applyInArrow(_sign_task, _SIG_SQL), "signatures")
-    nodes = materialise(spark, _nodes(signed), "nodes")
-    signed, nodes = _split(spark, signed, nodes)
+    nodes = materialise(spark, _nodes(signed), "nodes", files)
+    signed, nodes = _split(spark, signed, nodes, files)
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    rows = materialise(spark, _crowded(rows), "buckets")
+    rows = materialise(spark, _crowded(rows), "buckets", files)
     needed = rows.select("node").distinct().join(nodes, "node").select("part", "id", "row", "node", "n", "dfs")
     sets = dealt.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(_set_task, "node long, h binary, w binary")
     sets = materialise(spark, sets, "sets")
-    roots = materialise(spark, connected(spark, _settle(spark, rows, nodes, sets, threshold)), "roots")
+    roots = materialise(spark, connected(spark, _settle(spark, rows, nodes, sets, threshold, files), files), "roots", files)
     drop_since(spark, mark, (signed, roots))
-    return signed.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+    return signed.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root")), files
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, ``class_id`` (smallest id of the class) and ``class_size``, one row for each row of ``docs``."""
-    own = _classed(spark, docs, id_col, text_col, threshold).select("id", "root")
+    own, files = _classed(spark, docs, id_col, text_col, threshold)
+    own = own.select("id", "root")
     classes = own.where("root is not null").groupBy("root").agg(F.min("id").alias("class"), F.count("*").alias("size")).where("size > 1")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = own.join(classes, "root", "left").withColumn("class", F.coalesce("class", "id"))
-    return out.select(back("id").alias(id_col), back("class").alias("class_id"), F.coalesce("size", F.lit(1)).cast("long").alias("class_size"))
+    return out.select(back("id").alias(id_col), back("class").alias("class_id"), F.coalesce("size", F.lit(1)).cast("long").alias("class_size")).coalesce(files)
 
 
 def first_of_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those that have a near copy before them, by id and a hash of the text; texts without words all stay."""
-    own = _classed(spark, docs, id_col, text_col, threshold).where("root is not null")
+    own, files = _classed(spark, docs, id_col, text_col, threshold)
+    own = own.where("root is not null")
     first = own.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     own = own.join(first, "root").groupBy("id", "mark").agg(F.count("*").alias("times"), F.first(F.struct("id", "mark") == F.col("first")).alias("stays"))
-    own = materialise(spark, own.where("not stays or times > 1").select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "stays"), "copies")
+    own = materialise(spark, own.where("not stays or times > 1").select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "stays"), "copies", files)
     id_, mark_ = _keyed(id_col, text_col)
     same = lambda t: (id_ == t["id_"]) & (mark_ == t["mark_"])
     alone = docs.join(own, same(own), "left_anti")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
 BATCH, _LIMIT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+PER_CORE = 2
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -35,9 +36,20 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once and read back."""
+def most_files(spark: SparkSession, parts: int = 0) -> int:
+    """Tasks enough to write a work table: so many a core, or as many as the corpus has parts."""
+    return max(PER_CORE * spark.sparkContext.defaultParallelism, parts)
+
+
+def materialise(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df``, written once and read back; by ``files`` tasks at most, if given, each of which takes several partitions in turn.
+
+    On a local file system an executor starts processes for the modes of every file, and each counts as large as the
+    executor until it runs its own program. Few rows in many partitions cost mostly that.
+    """
     path = f"{folder(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+    if files:
+        df = df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
     back = spark.read.schema(df.schema).parquet(path)
