@@ -30,7 +30,8 @@ Q = {
     "cartesian": ("SELECT a.r_name AS x, b.n_name AS y FROM {region} a CROSS JOIN {nation} b", None),
     "residual_join": ("SELECT o_orderkey, l_linenumber FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey AND l_extendedprice > o_totalprice / 2", None),
     "self_join": ("SELECT a.n_name AS x, b.n_name AS y FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
-    "lateral_join": ("SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t", None),
+    # The subquery also returns the price: Spark drops the order of a correlated LIMIT whose columns are not all returned, and takes any order of the customer.
+    "lateral_join": ("SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 1) t", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t"),
     "using_join": ("SELECT n_nationkey, r_regionkey FROM {nation} JOIN (SELECT r_regionkey, r_regionkey AS n_regionkey FROM {region}) USING (n_regionkey)", None),
     "natural_join": ("SELECT n_nationkey, r_name FROM {nation} NATURAL JOIN (SELECT r_name, r_regionkey AS n_regionkey FROM {region})", "SELECT n_nationkey, r_name FROM nation NATURAL JOIN (SELECT r_name, r_regionkey AS n_regionkey FROM region) t"),
     "scalar_subquery": ("SELECT o_orderkey FROM {orders} o WHERE o_totalprice > (SELECT avg(o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)", None),
